@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op9_pack_islands
 from .token_files import op2_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
+    "op9_pack_islands": op9_pack_islands,
 }
 
 ORACLE_SQL: dict[str, str] = {}
