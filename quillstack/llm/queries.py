@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op3_media_shards
 from .packing import op9_pack_islands
+from .rollup import OP6_SQL, op6_token_rollup
 from .token_files import op2_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
+    "op3_media_shards": op3_media_shards,
+    "op6_token_rollup": op6_token_rollup,
     "op9_pack_islands": op9_pack_islands,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_token_rollup": OP6_SQL,
+}
