@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op3_media_shards
 from .packing import op9_pack_islands
+from .quality import op8_quality_gam
 from .rollup import OP6_SQL, op6_token_rollup
 from .token_files import op2_token_planes
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
     "op3_media_shards": op3_media_shards,
     "op6_token_rollup": op6_token_rollup,
+    "op8_quality_gam": op8_quality_gam,
     "op9_pack_islands": op9_pack_islands,
 }
 
