@@ -10,9 +10,11 @@ from .media import op3_media_shards
 from .packing import op9_pack_islands
 from .quality import op8_quality_gam
 from .rollup import OP6_SQL, op6_token_rollup
+from .simhash import op1_simhash_pigeonhole
 from .token_files import op2_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_token_planes": op2_token_planes,
     "op3_media_shards": op3_media_shards,
     "op6_token_rollup": op6_token_rollup,
