@@ -1,98 +1,206 @@
-"""Token ids by the tokenizers library, with the ids of frequent chunks of text kept.
+"""Token ids by the tokenizers library, with the ids of chunks of text kept in a hash table of arrays.
 
 A byte-level BPE without a normalizer splits a text before it merges. A single space or line feed between two characters that are
-not white space is always a border of that split, and so is the place between letters and a following run of ASCII marks. So the
-ids of a text are the ids of its chunks, one after another, and each distinct chunk is encoded only once. Texts with other white
-space, and other kinds of tokenizer, are encoded whole.
+not white space is always a border of that split, and so is the place between a Latin letter and a following ASCII mark. So the ids
+of a text are the ids of its chunks, one after another. Each distinct chunk is encoded once; the chunks of a batch of texts are found
+by two 64-bit hashes of their bytes, all at once. Texts with other white space, and other kinds of tokenizer, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
 
-_WHOLE = re.compile(r"\s\s|^\s|\s\Z|[\f\v\x1c-\x1f\r]|<\|")
-_WORD_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:|*$%&#]+)\Z")
+_RUNS = ("  ", "\n\n", "\n ", " \n", "<|")
+_ASCII_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_OTHER_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[[ord(c) for c in '.,!?;:|*$%&#"()[]{}/+=@_~^<>-']] = True
+_AFTER_C3 = np.zeros(256, dtype=bool)  # second bytes of the letters À to ÿ
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False
+_BASES, _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def plain(x: str) -> bool:
+    """Whether the only white space in x is single spaces and line feeds between other characters. Substring tests beat a regex here."""
+    return not (
+        not x
+        or x[0] in " \n"
+        or x[-1] in " \n"
+        or any(r in x for r in _RUNS)
+        or any(c in x for c in _ASCII_BLANKS)
+        or (not x.isascii() and any(c in x for c in _OTHER_BLANKS))
+    )
+
+
+class ChunkHashes:
+    """Two hashes of every run of bytes between given borders, from prefix sums modulo 2**64."""
+
+    def __init__(self):
+        self.powers = [np.ones(1, dtype=np.uint64) for _ in range(4)]
+
+    def _powers(self, n: int) -> list[np.ndarray]:
+        if len(self.powers[0]) < n:
+            self.powers = []
+            for base in _BASES:
+                for x in (base, pow(base, -1, 1 << 64)):
+                    steps = np.full(2 * n, x, dtype=np.uint64)
+                    steps[0] = 1
+                    self.powers.append(np.cumprod(steps, dtype=np.uint64))
+        return self.powers
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        powers, wide, out = self._powers(len(data) + 1), data.astype(np.uint64) + np.uint64(1), []
+        for up, down in (powers[:2], powers[2:]):
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(wide * up[: len(data)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * down[starts]
+            h ^= h >> np.uint64(32)
+            h *= _MIX
+            out.append(h ^ (h >> np.uint64(29)))
+        return out[0] | np.uint64(1), out[1]
 
 
 class ChunkEncoder:
-    """encode(texts) gives one unsigned 32-bit array for each text; `keep` bounds the number of kept chunks."""
+    """encode(texts) gives one unsigned 32-bit array for each text. The table is emptied when `keep` chunks are in it."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 2_500_000, bits: int = 22):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
-        self.known: dict[str, bytes] = {}
-        spec = json.loads(self.tokenizer.to_str(pretty=False)) if hasattr(self.tokenizer, "to_str") else {}
-        pre = spec.get("pre_tokenizer") or {}
+        self.keep, self.bits, self.hashes = min(keep, (1 << bits) * 3 // 5), bits, ChunkHashes()
+        spec = json.loads(self.tokenizer.to_str())
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if feed else -1
         self.chunked = bool(
             spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex")
             and not pre.get("add_prefix_space")
-            and (spec.get("model") or {}).get("type") == "BPE"
-            and not (spec.get("model") or {}).get("dropout")
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
             and len(feed) == 1
             and all(re.fullmatch(r"<\|.*\|>", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec.get("added_tokens", []))
         )
-        self.feed = feed[0] if feed else -1
+        self._clear()
+
+    def _clear(self) -> None:
+        n = 1 << self.bits
+        self.key, self.check = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+        self.place, self.count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        self.pool, self.used, self.kept = np.zeros(1 << 16, dtype=np.uint32), 0, 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _encode_all(self, keys: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(keys), 4096):
-            part = keys[i : i + 4096]
-            ids = self._ids("\n".join(part))
-            cut = np.flatnonzero(ids == self.feed) * 4
-            if len(cut) != len(part) - 1:  # a chunk holds a line feed itself
-                out += [self._ids(k).tobytes() for k in part]
-                continue
-            whole = ids.tobytes()
-            out += [whole[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(whole)])]
+    def _encode_all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, and how many each has."""
+        ids, counts = [], []
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            got = self._ids("\n".join(part))
+            feeds = np.flatnonzero(got == self.feed)
+            if len(feeds) == len(part) - 1:
+                ids.append(np.delete(got, feeds))
+                counts.append(np.diff(np.concatenate(([-1], feeds, [len(got)]))) - 1)
+            else:  # the chunk that is a line feed itself
+                each = [self._ids(c) for c in part]
+                ids += each
+                counts.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        out, todo, slot = np.full(len(h), -1, dtype=np.int64), np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        mask = len(self.key) - 1
+        while len(todo):
+            at = slot[todo]
+            key = self.key[at]
+            hit = (key == h[todo]) & (self.check[at] == check[todo])
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (key != 0)]
+            slot[todo] = (slot[todo] + 1) & mask
         return out
 
-    def _fill(self, keys: set[str]) -> dict[str, bytes]:
-        new: dict[str, bytes] = {}
-        known = self.known
-        parts = {k: m.groups() if (m := _WORD_MARKS.match(k)) else (k,) for k in keys}
-        need = list({p for v in parts.values() for p in v if p not in known})
-        new.update(zip(need, self._encode_all(need)))
-        for k, v in parts.items():
-            if len(v) == 2:
-                new[k] = b"".join(known[p] if p in known else new[p] for p in v)
-        return new
+    def _add(self, h: np.ndarray, check: np.ndarray, chunks: list[str]) -> None:
+        ids, counts = self._encode_all(chunks)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.kept += len(h)
+        todo, slot, mask = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64), len(self.key) - 1
+        while len(todo):
+            free = todo[self.key[slot[todo]] == 0]
+            at, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.key[at], self.check[at], self.place[at], self.count[at] = h[put], check[put], places[put], counts[put]
+            left = np.ones(len(h), dtype=bool)
+            left[put] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        raw = "\n".join(texts).encode("utf-8")
+        data = np.frombuffer(raw, dtype=np.uint8)
+        border = np.zeros(len(data) + 1, dtype=bool)
+        feed = data == 10
+        border[0] = border[-1] = True
+        border[:-1] |= feed | (data == 32)
+        border[1:] |= feed
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]
+        border[1:-1] |= letter[:-1] & _MARK[data[1:]]
+        edges = np.flatnonzero(border)
+        starts, ends = edges[:-1], edges[1:]
+        h, check = self.hashes(data, starts, ends)
+        slot = self._find(h, check)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            if self.kept + len(first) > self.keep:
+                self._clear()
+                new = np.arange(len(h))
+                _, first = np.unique(h, return_index=True)
+            one = new[first]
+            self._add(h[one], check[one], [raw[a:b].decode("utf-8") for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+            slot[new] = self._find(h[new], check[new])
+            if (slot < 0).any():  # two chunks with the same first hash and another second one
+                return [self._ids(x) for x in texts]
+        count, place = self.count[slot], self.place[slot].astype(np.int64)
+        sizes = np.array([len(x.encode("utf-8")) if not x.isascii() else len(x) for x in texts])
+        text_at = np.cumsum(sizes + 1) - sizes - 1
+        first = np.searchsorted(starts, text_at)
+        count[first[1:] - 1] = 0  # the line feeds between the texts
+        upto = np.cumsum(count)
+        ids = self.pool[np.repeat(place - (upto - count), count) + np.arange(upto[-1])]
+        cut = np.append(upto[first] - count[first], upto[-1])
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.chunked:
-            return [self._ids(x) for x in texts]
-        look, cut, missing = self.known.get, [], set()
-        for x in texts:
-            if not x or _WHOLE.search(x):
-                cut.append(None)
-                continue
-            p = x.replace("\n", "\f\n\f").replace(" ", "\f ").split("\f")
-            g = list(map(look, p))
-            if None in g:
-                missing.update([k for k, v in zip(p, g) if v is None])
-            cut.append((p, g))
-        new = self._fill(missing) if missing else {}
-        out = []
-        for x, c in zip(texts, cut):
-            if c is None:
-                out.append(self._ids(x))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        group, size = [], 0
+        for k, x in enumerate(texts):
+            if not self.chunked or not plain(x):
+                out[k] = self._ids(x)
                 continue
-            p, g = c
-            if None in g:
-                g = [new[k] if v is None else v for k, v in zip(p, g)]
-            out.append(np.frombuffer(b"".join(g), dtype=np.uint32))
-        if len(self.known) < self.keep:
-            self.known.update(new)
+            group.append(k)
+            size += len(x)
+            if size > 1 << 19:
+                for i, ids in zip(group, self._encode_plain([texts[i] for i in group])):
+                    out[i] = ids
+                group, size = [], 0
+        if group:
+            for i, ids in zip(group, self._encode_plain([texts[i] for i in group])):
+                out[i] = ids
         return out
 
 
@@ -101,9 +209,6 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each file and Python worker."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
