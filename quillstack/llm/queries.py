@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_template_windows
 from .media import op3_media_shards
 from .packing import op9_pack_islands
 from .quality import op8_quality_gam
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_rollup": op6_token_rollup,
     "op8_quality_gam": op8_quality_gam,
     "op9_pack_islands": op9_pack_islands,
+    "op10_template_windows": op10_template_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
