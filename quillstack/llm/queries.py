@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_template_windows
+from .licenses import OP5_SQL, op5_license_bands
 from .media import op3_media_shards
 from .packing import op9_pack_islands
 from .quality import op8_quality_gam
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_token_planes": op2_token_planes,
     "op3_media_shards": op3_media_shards,
+    "op5_license_bands": op5_license_bands,
     "op6_token_rollup": op6_token_rollup,
     "op8_quality_gam": op8_quality_gam,
     "op9_pack_islands": op9_pack_islands,
@@ -25,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_bands": OP5_SQL,
     "op6_token_rollup": OP6_SQL,
 }
