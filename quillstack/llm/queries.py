@@ -11,6 +11,7 @@ from .licenses import OP5_SQL, op5_license_bands
 from .media import op3_media_shards
 from .packing import op9_pack_islands
 from .quality import op8_quality_gam
+from .repeats import OP4_SQL, op4_suffix_repeats
 from .rollup import OP6_SQL, op6_token_rollup
 from .simhash import op1_simhash_pigeonhole
 from .token_files import op2_token_planes
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_token_planes": op2_token_planes,
     "op3_media_shards": op3_media_shards,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_license_bands": op5_license_bands,
     "op6_token_rollup": op6_token_rollup,
     "op8_quality_gam": op8_quality_gam,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_repeats": OP4_SQL,
     "op5_license_bands": OP5_SQL,
     "op6_token_rollup": OP6_SQL,
 }
