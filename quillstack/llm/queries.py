@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chains import op7_chained_passages
 from .decontaminate import op10_template_windows
 from .licenses import OP5_SQL, op5_license_bands
 from .media import op3_media_shards
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_license_bands": op5_license_bands,
     "op6_token_rollup": op6_token_rollup,
+    "op7_chained_passages": op7_chained_passages,
     "op8_quality_gam": op8_quality_gam,
     "op9_pack_islands": op9_pack_islands,
     "op10_template_windows": op10_template_windows,
