@@ -265,9 +265,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, one document of each component: the one with the smallest doc_id (all rows that have it)."""
-    kept = near_duplicates(docs, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of("doc_id").alias("_kept_key")).distinct()
-    return docs.join(kept, key_of("doc_id") == F.col("_kept_key"), "left_semi")
+    """The rows of docs, one document of each component: the one with the smallest doc_id. Of several rows with that doc_id one stays."""
+    near = written(near_duplicates(docs, distance), "near")
+    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key_of("doc_id").alias("_kept_key")).agg(F.count("*").alias("_copies"))
+    out = docs.join(kept.select("_kept_key"), key_of("doc_id") == F.col("_kept_key"), "left_semi")
+    if kept.where("_copies > 1").isEmpty():
+        return out
+    return out.dropDuplicates(["doc_id"])
 
 
 def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
