@@ -37,7 +37,7 @@ from .suffixes import suffix_order
 from .tokens import ChunkHashes
 
 LENGTH, GRAM = 50, 16
-UNIT_BYTES, SHARD_BYTES, SORT_BYTES, MOST_WINDOWS = 16 << 20, 12 << 20, 4 << 20, 192
+UNIT_BYTES, SHARD_BYTES, SORT_BYTES, MOST_WINDOWS = 8 << 20, 8 << 20, 2 << 20, 192
 _A, _B, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 40
 _HASHES = ChunkHashes()
 
@@ -80,7 +80,7 @@ def _min_over(h: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(data: np.ndarray, doc_at: np.ndarray, doc_n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, anchor, document number) of the runs of neighbouring windows with one anchor, over all documents in data."""
-    starts, counts, anchors, chunk = [], [], [], 1 << 20
+    starts, counts, anchors, chunk = [], [], [], 1 << 19
     ends = doc_at + doc_n
     for at in range(0, max(len(data) - length + 1, 0), chunk):
         part = data[at : at + chunk + length - 1]
@@ -173,7 +173,7 @@ class Unit:
 def segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each segment; segments in any order, data taken in chunks."""
     h1, h2 = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.uint64)
-    chunk, order = 1 << 20, np.argsort(start, kind="stable")
+    chunk, order = 1 << 19, np.argsort(start, kind="stable")
     bounds = np.searchsorted(start[order], np.arange(0, len(data) + chunk, chunk))
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
         if a < b:
@@ -373,7 +373,7 @@ def _covered(docs: DataFrame, finish, schema, length: int, unit_bytes: int, shar
 
         yield from _by_shard(batches, one)
 
-    by_unit = asked.repartition(n_units, "unit")
+    by_unit = asked.repartition(n_units)
     answers = dealt(by_unit.mapInArrow(to_shards, "shard int, unit string, data binary")).mapInArrow(to_bits, "unit string, shard int, data binary")
     answers = written(answers.groupBy("unit").agg(F.collect_list(F.struct("shard", "data")).alias("bits")), "bits")
 
@@ -381,7 +381,7 @@ def _covered(docs: DataFrame, finish, schema, length: int, unit_bytes: int, shar
         for batch in batches:
             for r in batch.to_pylist():
                 unit = _read_unit(r["unit"], length)
-                mark = np.zeros(len(unit.data) + 1, dtype=np.int32)
+                begins = np.zeros(len(unit.data), dtype=bool)
                 if r["parts"]:
                     runs, head, least = unit.segments(shared_of(r["parts"]))
                     first = runs[head]
@@ -395,12 +395,13 @@ def _covered(docs: DataFrame, finish, schema, length: int, unit_bytes: int, shar
                     number = np.cumsum(np.isin(np.arange(len(runs)), head)) - 1
                     covered = bits[ragged(upto[:-1][number], unit.size[runs])]
                     covered |= np.repeat(unit.key[unit.doc[runs]] > least[number], unit.size[runs])
-                    windows = ragged(unit.start[runs], unit.size[runs])[covered]
-                    np.add.at(mark, windows, 1)
-                    np.add.at(mark, windows + length, -1)
-                yield from finish(unit, np.cumsum(mark[:-1]) > 0)
+                    begins[ragged(unit.start[runs], unit.size[runs])[covered]] = True
+                upto = np.cumsum(begins, dtype=np.int32)
+                removed = upto > 0
+                removed[length:] = upto[length:] > upto[:-length]
+                yield from finish(unit, removed)
 
-    return asked.join(answers, "unit", "left").repartition(n_units, "unit").mapInArrow(lay, schema)
+    return asked.join(answers, "unit", "left").repartition(n_units).mapInArrow(lay, schema)
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
