@@ -78,6 +78,13 @@ def _min_over(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(c[: len(c) - (width - span)], c[width - span :]) if span < width else c
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Least hashes are small numbers; this makes their leading bits even, so that ranges of them are shards of one size."""
+    h = h * _B
+    h ^= h >> np.uint64(32)
+    return h * _A
+
+
 def runs_of(data: np.ndarray, doc_at: np.ndarray, doc_n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, anchor, document number) of the runs of neighbouring windows with one anchor, over all documents in data."""
     starts, counts, anchors, chunk = [], [], [], 1 << 19
@@ -104,7 +111,7 @@ def runs_of(data: np.ndarray, doc_at: np.ndarray, doc_n: np.ndarray, length: int
         size = np.diff(np.append(begin, n))
         keep = valid[begin]
         begin, size = begin[keep], size[keep]
-        value = least[begin] >> np.uint64(64 - _BITS)
+        value = spread(least[begin]) >> np.uint64(64 - _BITS)
         if len(size) and size.max() > MOST_WINDOWS:  # as in long repetitions of few bytes
             pieces = -(-size // MOST_WINDOWS)
             k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -170,6 +177,13 @@ class Unit:
         return runs, head, least
 
 
+def _count_before(mask: np.ndarray) -> np.ndarray:
+    """How many are set before each place, and at the end all; a unit has fewer than 2**31 bytes, as an Arrow column has."""
+    out = np.zeros(len(mask) + 1, dtype=np.int32)
+    np.cumsum(mask, dtype=np.int32, out=out[1:])
+    return out
+
+
 def segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each segment; segments in any order, data taken in chunks."""
     h1, h2 = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.uint64)
@@ -393,9 +407,13 @@ def _covered(docs: DataFrame, finish, schema, length: int, unit_bytes: int, shar
                         a, b = int(upto[cut[p["shard"]]]), int(upto[cut[p["shard"] + 1]])
                         bits[a:b] = np.unpackbits(unpack(p["data"])[0], count=b - a)
                     number = np.cumsum(np.isin(np.arange(len(runs)), head)) - 1
-                    covered = bits[ragged(upto[:-1][number], unit.size[runs])]
-                    covered |= np.repeat(unit.key[unit.doc[runs]] > least[number], unit.size[runs])
-                    begins[ragged(unit.start[runs], unit.size[runs])[covered]] = True
+                    reach = np.cumsum(unit.size[runs])
+                    cuts = np.unique(np.append(np.searchsorted(reach, np.arange(1 << 19, int(reach[-1]), 1 << 19)), len(runs)))
+                    for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                        some, n = runs[a:b], number[a:b]
+                        covered = bits[ragged(upto[:-1][n], unit.size[some])]
+                        covered |= np.repeat(unit.key[unit.doc[some]] > least[n], unit.size[some])
+                        begins[ragged(unit.start[some], unit.size[some])[covered]] = True
                 upto = np.cumsum(begins, dtype=np.int32)
                 removed = upto > 0
                 removed[length:] = upto[length:] > upto[:-length]
@@ -411,18 +429,18 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         import pyarrow as pa
 
         at, n = unit.doc_at, unit.doc_n
-        gone = np.concatenate(([0], np.cumsum(removed)))
+        gone = _count_before(removed)
         starts = removed.copy()
         starts[1:] &= ~removed[:-1]
         first = at[n > 0]
         starts[first] = removed[first]
-        spans = np.concatenate(([0], np.cumsum(starts)))
+        spans = _count_before(starts)
         kept = unit.data[~removed].tobytes()
         left = at - gone[at]
-        n_removed = gone[at + n] - gone[at]
+        n_removed = (gone[at + n] - gone[at]).astype(np.int64)
         sums = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(left.tolist(), (left + n - n_removed).tolist())]
         ids = pa.array(unit.key, pa.int64(), mask=unit.key == NO_ID)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(n_removed), pa.array(spans[at + n] - spans[at]), pa.array(sums, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(n_removed), pa.array((spans[at + n] - spans[at]).astype(np.int64)), pa.array(sums, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _covered(picked.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, unit_bytes, shard_bytes, "doc_id", "text")
@@ -437,7 +455,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     def finish(unit: Unit, removed: np.ndarray):
         import pyarrow as pa
 
-        gone = np.concatenate(([0], np.cumsum(removed)))
+        gone = _count_before(removed)
         a, n = unit.doc_at, unit.doc_n
         left = a - gone[a]
         n_removed = gone[a + n] - gone[a]
