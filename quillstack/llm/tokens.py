@@ -69,7 +69,7 @@ class ChunkHashes:
 class ChunkEncoder:
     """encode(texts) gives one unsigned 32-bit array for each text. The table is emptied when `keep` chunks are in it."""
 
-    def __init__(self, path: str, keep: int = 2_500_000, bits: int = 22):
+    def __init__(self, path: str, keep: int = 2_500_000, bits: int = 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
