@@ -192,6 +192,21 @@ def test_passages_are_found_and_clean_texts_are_not(spark):
     assert chains.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("changed", [5, 7, 9, 10])
+def test_passages_of_fifty_words_are_found_at_any_identity_allowed(spark, changed):
+    rng = np.random.default_rng(changed)
+    docs, n = [], 40
+    for k in range(n):
+        passage = word_list(rng, 50)
+        fuzzy = list(passage)
+        for i in (1 + rng.permutation(48)[:changed]).tolist():
+            fuzzy[i] = f"other{k}x{i}"
+        docs += [(k, " ".join(word_list(rng, 60) + passage + word_list(rng, 60)), 0, ""), (1000 + k, " ".join(word_list(rng, 30) + fuzzy + word_list(rng, 30)), 0, "")]
+    got = chains.repeated_passages(spark.createDataFrame(docs, DOCS).repartition(3), unit_bytes=20_000).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in got} == {(1000 + k, k) for k in range(n)}
+    assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 for r in got)
+
+
 def test_chains_equal_brute_force():
     """The best local chain over all orders of a few blocks."""
     rng = np.random.default_rng(4)
