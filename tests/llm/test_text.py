@@ -207,6 +207,26 @@ def test_passages_of_fifty_words_are_found_at_any_identity_allowed(spark, change
     assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 for r in got)
 
 
+def test_passages_of_frequent_phrases_are_found(spark):
+    """Each phrase of a passage is also alone in documents before the first one with the passage and between the two."""
+    rng = np.random.default_rng(8)
+    phrases = [word_list(rng, 5) for _ in range(240)]
+    docs, want = [], set()
+    for k in range(20):
+        mine = phrases[12 * k : 12 * k + 12]
+        a, b = (sum(mine, []), sum(mine, []))
+        for i in range(2, 60, 10):
+            b[i] = f"other{k}x{i}"
+        docs += [(1000 * k + 500, " ".join(word_list(rng, 50) + a + word_list(rng, 50)), 0, ""), (1000 * k + 900, " ".join(word_list(rng, 20) + b + word_list(rng, 50)), 0, "")]
+        want.add((1000 * k + 900, 1000 * k + 500))
+        for j in range(12):  # with the words around it, so that no string over the edge of a phrase is rare either
+            piece = b[5 * j : 5 * j + 9] if j % 2 else b[max(0, 5 * j - 4) : 5 * j + 5]
+            docs += [(1000 * k + at + j, " ".join(word_list(rng, 40) + piece + word_list(rng, 40)), 0, "") for at in (100, 600)]
+    for unit_bytes in (4_000, 1 << 20):
+        got = chains.repeated_passages(spark.createDataFrame(docs, DOCS).repartition(3), unit_bytes=unit_bytes).collect()
+        assert {(r["doc_id"], r["partner_id"]) for r in got} >= want
+
+
 def test_chains_equal_brute_force():
     """The best local chain over all orders of a few blocks."""
     rng = np.random.default_rng(4)
