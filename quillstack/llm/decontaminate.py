@@ -4,9 +4,10 @@ Texts and benchmark items are cut into words (runs of letters and digits; marks
 lower-cased. Two readings are compared. The plain one has the words as they are. The template one has typed placeholders for numbers,
 units and names (capitalised words that aren't common function words), so that "Ann has 5 kg" and "Bob has 7 kg" agree. Windows of five
 words, or the whole item if it is shorter, are joined by hash. An item is found in a text if at least `similarity` of its distinct
-windows are: in the plain reading, or in the template reading (only windows with three literal words count there) if the slots are
-consistent: with the item laid beside the text along the matched windows, at least `similarity` of its slots must map to the text's
-commonest value for their own value.
+windows are: in the plain reading, or in the template reading if the slots are consistent: with the item laid beside the text along the
+matched windows, at least `similarity` of its slots must map to the text's commonest value for their own value. All windows count in both
+readings. Windows with less than three literal words only don't pick candidates, but for items in which such windows are `similarity` of
+all. An item without slots, or with less than three literal words in all, has no template reading.
 
 The items go to the tasks of the text scan while their windows number at most `most_windows`; a benchmark beyond that is joined by a
 shuffle on the window hash instead. Both ways give the same rows.
@@ -102,23 +103,20 @@ def words_of(texts: list[str]) -> Words:
 _UNIT_HASHES, _COMMON_HASHES = _hashes_of(UNITS), _hashes_of(COMMON)
 
 
-def windows_of(words: Words, size: int, template: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(word number at the start, hash) of each window within one text; of template windows only those with enough literal words."""
+def windows_of(words: Words, size: int, template: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number at the start, hash, whether it has too few literal words to pick candidates) of each window within one text."""
     n = len(words.text) - size + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     values = words.template if template else words.plain
     h = np.full(n, size * 2 + template, dtype=np.uint64)
     for k in range(size):
         h = (h ^ values[k : k + n]) * _STEP
         h ^= h >> np.uint64(31)
     ok = words.text[:n] == words.text[size - 1 :]
-    if template:
-        slots = np.concatenate(([0], np.cumsum(words.slot)))
-        literal = size - (slots[size:] - slots[:n])
-        ok &= (literal >= min(LITERALS, size)) & (literal < size)
     at = np.flatnonzero(ok)
-    return at, h[at]
+    slots = np.concatenate(([0], np.cumsum(words.slot)))
+    return at, h[at], (slots[at + size] - slots[at] > size - LITERALS) & template
 
 
 @dataclass
@@ -132,6 +130,8 @@ class Items:
     variant: np.ndarray  # 2 * item number + reading
     at: np.ndarray
     need: np.ndarray  # distinct windows of each variant
+    dense: np.ndarray  # how many of them have few literal words and aren't in `hash`
+    whole: tuple[np.ndarray, np.ndarray, np.ndarray]  # variant, hash and place of all template windows, in this order
     sieve: np.ndarray
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,27 +143,37 @@ class Items:
         return mine, np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def items_of(rows: list[tuple[int, str]]) -> Items:
+def items_of(rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> Items:
     """The windows of benchmark rows (item_id, text)."""
     words = words_of([t or "" for _, t in rows])
     length = np.bincount(words.text, minlength=len(rows))
+    slots = np.bincount(words.text, weights=words.slot, minlength=len(rows))
+    read = (slots > 0) & (length - slots >= LITERALS)
     sizes = sorted({min(WINDOW, int(x)) for x in length if x})
     parts = []
     for size in sizes:
         mine = length >= WINDOW if size == WINDOW else length == size
         for template in (False, True):
-            at, h = windows_of(words, size, template)
-            keep = mine[words.text[at]]
-            parts.append((h[keep], 2 * words.text[at][keep] + template, at[keep]))
-    h, variant, at = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(3))
-    h = h.astype(np.uint64)
+            at, h, dense = windows_of(words, size, template)
+            keep = mine[words.text[at]] & (read[words.text[at]] | (not template))
+            parts.append((h[keep], 2 * words.text[at][keep] + template, at[keep], dense[keep]))
+    h, variant, at, dense = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(4))
+    h, dense = h.astype(np.uint64), dense.astype(bool)
+    _, first = np.unique(np.stack([variant.astype(np.uint64), h], axis=1), axis=0, return_index=True) if len(h) else (None, np.zeros(0, dtype=np.int64))
+    need = np.bincount(variant[first], minlength=2 * len(rows))
+    few = np.bincount(variant[first][dense[first]], minlength=2 * len(rows))
+    few[few >= similarity * need] = 0  # their dense windows pick candidates, too
+    order = np.lexsort((at, h, variant))
+    order = order[variant[order] % 2 == 1]
+    whole = (variant[order], h[order], at[order])
+    keep = ~dense | (few[variant] == 0)
+    h, variant, at = h[keep], variant[keep], at[keep]
     order = np.argsort(h, kind="stable")
     h, variant, at = h[order], variant[order], at[order]
-    pairs = np.unique(np.stack([variant.astype(np.uint64), h], axis=1), axis=0) if len(h) else np.zeros((0, 2), dtype=np.uint64)
     bits = min(26, max(16, int(len(h)).bit_length() + 7))
     sieve = np.zeros(1 << bits, dtype=bool)
     sieve[h >> np.uint64(64 - bits)] = True
-    return Items([i for i, _ in rows], words, sizes, h, variant, at, np.bincount(pairs[:, 0].astype(np.int64), minlength=2 * len(rows)), sieve)
+    return Items([i for i, _ in rows], words, sizes, h, variant, at, need, few, whole, sieve)
 
 
 def consistency(pairs: np.ndarray) -> tuple[int, float]:
@@ -177,63 +187,95 @@ def consistency(pairs: np.ndarray) -> tuple[int, float]:
     return len(pairs), sum(best.values()) / len(pairs)
 
 
+def _agreement(at_text: np.ndarray, at_item: np.ndarray, words: Words, t: int, items: Items, item: int) -> tuple[int, float]:
+    """consistency() of an item laid beside text t along windows at ascending places of the item: each of its words is laid beside
+    the text's word that the nearest window points to."""
+    shift = at_text - at_item
+    lo, hi = np.searchsorted(items.words.text, [item, item + 1])
+    of_item = lo + np.flatnonzero(items.words.slot[lo:hi])
+    right = np.minimum(np.searchsorted(at_item, of_item), len(at_item) - 1)
+    left = np.maximum(right - 1, 0)
+    near = np.where(np.abs(at_item[left] - of_item) < np.abs(at_item[right] - of_item), left, right)
+    of_text = np.clip(of_item + shift[near], 0, len(words.text) - 1)
+    same = (words.text[of_text] == t) & (words.template[of_text] == items.words.template[of_item])
+    return consistency(np.stack([items.words.plain[of_item], words.plain[of_text]], axis=1)[same])
+
+
+def judged(at: np.ndarray, h: np.ndarray, words: Words, t: int, items: Items, v: int, similarity: float) -> tuple[float, int, float] | None:
+    """(containment, slots, consistent) of template variant v in text t, whose template windows are at, h; None if it isn't in it."""
+    lo, hi = np.searchsorted(items.whole[0], [v, v + 1])
+    mine, place = items.whole[1][lo:hi], items.whole[2][lo:hi]
+    a, b = np.searchsorted(mine, h, side="left"), np.searchsorted(mine, h, side="right")
+    n = b - a
+    at_text, number = np.repeat(at, n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    kind, at_item = mine[number], place[number]
+    share = len(np.unique(kind)) / items.need[v]
+    if share < similarity:
+        return None
+    place, first = np.unique(at_item, return_index=True)
+    slots, agree = _agreement(at_text[first], place, words, t, items, v // 2)
+    return (share, slots, agree) if agree >= similarity else None
+
+
 def find_in(texts: list[str], items: Items, similarity: float = SIMILARITY) -> list[tuple]:
     """(text number, item_id, reading, containment, slots, consistent) of all items found in the texts."""
     words = words_of(texts)
-    text, variant, at_text, at_item, hashes = [], [], [], [], []
+    text, variant, hashes, windows = [], [], [], {}
     for size in items.sizes:
         for template in (False, True):
-            at, h = windows_of(words, size, template)
-            mine, other = items.hits(h)
-            text.append(words.text[at[mine]])
+            at, h, _ = windows_of(words, size, template)
+            if template:
+                windows[size] = (at, h, words.text[at])
+            # a window that a text repeats counts once
+            some = np.flatnonzero(items.sieve[h >> np.uint64(64 - int(len(items.sieve)).bit_length() + 1)])
+            some = some[np.lexsort((h[some], words.text[at[some]]))]
+            t, k = words.text[at[some]], h[some]
+            new = np.ones(len(some), dtype=bool)
+            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+            t, k = t[new], k[new]
+            mine, other = items.hits(k)
+            text.append(t[mine])
             variant.append(items.variant[other])
-            at_text.append(at[mine])
-            at_item.append(items.at[other])
-            hashes.append(h[mine])
+            hashes.append(k[mine])
     if not text:
         return []
-    text, variant, at_text, at_item, hashes = (np.concatenate(x) for x in (text, variant, at_text, at_item, hashes))
+    text, variant, hashes = (np.concatenate(x) for x in (text, variant, hashes))
     if not len(text):
         return []
     distinct = np.unique(np.stack([text.astype(np.uint64), variant.astype(np.uint64), hashes], axis=1), axis=0)
     group, n = np.unique(distinct[:, :2], axis=0, return_counts=True)
     group = group.astype(np.int64)
-    share = n / items.need[group[:, 1]]
+    need, dense = items.need[group[:, 1]], items.dense[group[:, 1]]
+    share = n / need
+    picked = np.where(dense > 0, (n + dense) / need, share) >= similarity
     out: dict[tuple, tuple] = {}
-    for (t, v), s in zip(group[share >= similarity].tolist(), share[share >= similarity].tolist()):
-        slots, agree = 0, 1.0
+    for (t, v), s in zip(group[picked].tolist(), share[picked].tolist()):
+        row = (s, 0, 1.0)
         if v % 2:
-            rows = np.flatnonzero((text == t) & (variant == v))
-            # each word of the item is laid beside the text's word that the nearest matched window points to
-            place, first = np.unique(at_item[rows], return_index=True)
-            shift = at_text[rows][first] - place
-            of_item = np.flatnonzero((items.words.text == v // 2) & items.words.slot)
-            right = np.minimum(np.searchsorted(place, of_item), len(place) - 1)
-            left = np.maximum(right - 1, 0)
-            near = np.where(np.abs(place[left] - of_item) < np.abs(place[right] - of_item), left, right)
-            of_text = np.clip(of_item + shift[near], 0, len(words.text) - 1)
-            same = (words.text[of_text] == t) & (words.template[of_text] == items.words.template[of_item])
-            slots, agree = consistency(np.stack([items.words.plain[of_item], words.plain[of_text]], axis=1)[same])
-            if agree < similarity:
+            length = int(np.diff(np.searchsorted(items.words.text, [v // 2, v // 2 + 1]))[0])
+            at, h, of = windows[min(WINDOW, length)]
+            lo, hi = np.searchsorted(of, [t, t + 1])
+            row = judged(at[lo:hi], h[lo:hi], words, t, items, v, similarity)
+            if row is None:
                 continue
-        key, row = (t, items.ids[v // 2], v % 2), (s, slots, agree)
+        key = (t, items.ids[v // 2], v % 2)
         out[key] = max(out.get(key, row), row)
     return [(t, i, "template" if r else "plain", *row) for (t, i, r), row in sorted(out.items())]
 
 
-def _benchmark(benchmark: DataFrame, most_windows: int) -> Items | None:
+def _benchmark(benchmark: DataFrame, most_windows: int, similarity: float) -> Items | None:
     """The items for the tasks; None if their words are too many for that."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > 8 * most_windows:  # a word and its separator take two bytes at least; four on average or more
         return None
-    return items_of([(r["item_id"], r["text"]) for r in rows.orderBy("item_id", "text").collect()])
+    return items_of([(r["item_id"], r["text"]) for r in rows.orderBy("item_id", "text").collect()], similarity)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_windows: int = MOST_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FOUND: one row for each document and benchmark item found in it, and reading."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    items = _benchmark(benchmark, most_windows)
+    items = _benchmark(benchmark, most_windows, similarity)
     if items is None:
         return _by_shuffle(texts, benchmark, similarity)
 
@@ -255,7 +297,7 @@ def _found(pa, rows: list[tuple]):
 
 
 def _window_rows(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """key (a row's number), size, hash, at least those windows that an item can have; texts are numbered by the caller."""
+    """key (a row's number), size, hash, words of the text, whether the window is dense, of all windows; texts are numbered by the caller."""
 
     def emit(batches):
         import pyarrow as pa
@@ -266,14 +308,14 @@ def _window_rows(rows: DataFrame, sizes: list[int]) -> DataFrame:
             length = np.bincount(words.text, minlength=len(keys)).astype(np.int32)
             for size in sizes:
                 for template in (False, True):
-                    at, h = windows_of(words, size, template)
+                    at, h, dense = windows_of(words, size, template)
                     if len(h):
                         t = words.text[at]
-                        pairs = np.unique(np.stack([t.astype(np.uint64), h], axis=1), axis=0)
+                        pairs, one = np.unique(np.stack([t.astype(np.uint64), h], axis=1), axis=0, return_index=True)
                         t = pairs[:, 0].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[t]), pa.array(np.full(len(t), 2 * size + template, dtype=np.int32)), pa.array(pairs[:, 1].view(np.int64)), pa.array(length[t])], names=["key", "kind", "hash", "words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[t]), pa.array(np.full(len(t), 2 * size + template, dtype=np.int32)), pa.array(pairs[:, 1].view(np.int64)), pa.array(length[t]), pa.array(dense[one])], names=["key", "kind", "hash", "words", "dense"])
 
-    return rows.mapInArrow(emit, "key long, kind int, hash long, words int")
+    return rows.mapInArrow(emit, "key long, kind int, hash long, words int, dense boolean")
 
 
 def _by_shuffle(texts: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
@@ -285,10 +327,12 @@ def _by_shuffle(texts: DataFrame, benchmark: DataFrame, similarity: float) -> Da
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("body"))
     rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "items")
     items = _window_rows(rows.select("key", "body"), sizes).where(F.floor(F.col("kind") / 2) == F.least(F.col("words"), F.lit(WINDOW)))
-    need = items.groupBy("key", "kind").agg(F.count("*").alias("need"))
+    need = items.groupBy("key", "kind").agg(F.count("*").alias("need"), F.count_if("dense").alias("few"))
+    need = need.withColumn("few", F.when(F.col("few") < similarity * F.col("need"), F.col("few")).otherwise(0))
+    items = items.join(need.select("key", "kind", "few"), ["key", "kind"]).where(~F.col("dense") | (F.col("few") == 0))
     mine = _window_rows(texts.select("key", "body"), sizes).select(F.col("key").alias("text_key"), "kind", "hash")
     met = mine.join(items.select(F.col("key").alias("item_key"), "kind", "hash"), ["kind", "hash"]).groupBy("text_key", "item_key", "kind").agg(F.count("*").alias("met"))
-    pairs = met.join(need.withColumnRenamed("key", "item_key"), ["item_key", "kind"]).where(F.col("met") >= similarity * F.col("need")).select("text_key", "item_key").distinct()
+    pairs = met.join(need.withColumnRenamed("key", "item_key"), ["item_key", "kind"]).where(F.col("met") + F.col("few") >= similarity * F.col("need")).select("text_key", "item_key").distinct()
     both = pairs.join(texts.withColumnRenamed("key", "text_key"), "text_key").join(rows.select(F.col("key").alias("item_key"), "item_id", F.col("body").alias("item")), "item_key")
 
     def verify(batches):
@@ -297,7 +341,7 @@ def _by_shuffle(texts: DataFrame, benchmark: DataFrame, similarity: float) -> Da
         for batch in in_parts(batches, 256):
             out = []
             for r in batch.to_pylist():
-                out += [(r["text_key"], r["doc_id"], *rest[1:]) for rest in find_in([r["body"] or ""], items_of([(r["item_id"], r["item"])]), similarity)]
+                out += [(r["text_key"], r["doc_id"], *rest[1:]) for rest in find_in([r["body"] or ""], items_of([(r["item_id"], r["item"])], similarity), similarity)]
             columns = list(zip(*out)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text_key", *(c.split()[0] for c in FOUND.split(", "))])
@@ -309,7 +353,7 @@ def _by_shuffle(texts: DataFrame, benchmark: DataFrame, similarity: float) -> Da
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The rows of docs in which no benchmark item is found."""
-    items = _benchmark(benchmark, most_windows)
+    items = _benchmark(benchmark, most_windows, similarity)
     if items is None:
         from .common import key_of
 

@@ -170,6 +170,15 @@ def test_licenses_odd_rows(spark, most_shingles):
     assert licenses.license_scan(spark.createDataFrame(rows, DOCS), t.limit(0), most_shingles=most_shingles).count() == 0
 
 
+@pytest.mark.parametrize("most_windows", [1_000_000, 0])
+def test_template_reading_counts_all_windows(spark, most_windows):
+    items = [(1, "What is the capital of France?"), (2, "Ann paid 5 dollars, Bob paid 7 dollars, Carl paid 9 dollars. How many dollars?"), (3, "Ann 5, Bob 7")]
+    docs = [(1, "Rome is the capital of Italy and large", 0, ""), (2, "so what is the capital of Italy then", 0, ""), (4, "Tom 1, Eve 2", 0, "")]
+    docs += [(3, "x Tom paid 1 dollars, Eve paid 2 dollars, Max paid 3 dollars. How many dollars? y", 0, ""), (5, "Tom paid 1 dollars, Eve paid 2 dollars.", 0, "")]
+    args = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert found(decontaminate.contaminated(*args, most_windows=most_windows)) == [("2", 1, "template"), ("3", 2, "template")]
+
+
 def word_list(rng, n):
     return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
 
