@@ -7,7 +7,8 @@ words, or the whole item if it is shorter, are joined by hash. An item is found
 windows are: in the plain reading, or in the template reading if the slots are consistent: with the item laid beside the text along the
 matched windows, at least `similarity` of its slots must map to the text's commonest value for their own value. All windows count in both
 readings. Windows with less than three literal words only don't pick candidates, but for items in which such windows are `similarity` of
-all. An item without slots, or with less than three literal words in all, has no template reading.
+all. An item without slots, or with less than three literal words in all, has no template reading. Where a text has windows of an item
+several times, each place is tried: the matched windows around each diagonal that hold `similarity` of the item's are judged by themselves.
 
 The items go to the tasks of the text scan while their windows number at most `most_windows`; a benchmark beyond that is joined by a
 shuffle on the window hash instead. Both ways give the same rows.
@@ -214,7 +215,23 @@ def judged(at: np.ndarray, h: np.ndarray, words: Words, t: int, items: Items, v:
         return None
     place, first = np.unique(at_item, return_index=True)
     slots, agree = _agreement(at_text[first], place, words, t, items, v // 2)
-    return (share, slots, agree) if agree >= similarity else None
+    if agree >= similarity:
+        return share, slots, agree
+    # every diagonal with enough windows around it, by itself
+    length = int(np.diff(np.searchsorted(items.words.text, [v // 2, v // 2 + 1]))[0])
+    order = np.argsort(at_text - at_item, kind="stable")
+    at_text, at_item, kind = at_text[order], at_item[order], kind[order]
+    diagonal, best = at_text - at_item, None
+    for d in np.unique(diagonal).tolist():
+        x, y = np.searchsorted(diagonal, [d - max(WINDOW, length // 2), d + max(WINDOW, length // 2) + 1])
+        if y - x < similarity * items.need[v] or len(np.unique(kind[x:y])) < similarity * items.need[v]:
+            continue
+        near = x + np.lexsort((np.abs(diagonal[x:y] - d), at_item[x:y]))
+        near = near[np.concatenate(([True], at_item[near][1:] != at_item[near][:-1]))]
+        slots, agree = _agreement(at_text[near], at_item[near], words, t, items, v // 2)
+        if agree >= similarity and (best is None or (agree, slots) > (best[2], best[1])):
+            best = (share, slots, agree)
+    return best
 
 
 def find_in(texts: list[str], items: Items, similarity: float = SIMILARITY) -> list[tuple]:

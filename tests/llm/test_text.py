@@ -179,6 +179,15 @@ def test_template_reading_counts_all_windows(spark, most_windows):
     assert found(decontaminate.contaminated(*args, most_windows=most_windows)) == [("2", 1, "template"), ("3", 2, "template")]
 
 
+@pytest.mark.parametrize("most_windows", [1_000_000, 0])
+def test_template_copies_after_others_are_found(spark, most_windows):
+    good = "Bob Carter buys 7 apples for 90 euros and gives Bob Carter's brother 7 pears after lunch today. "
+    bad = "Bob Carter buys 7 apples for 90 euros and gives Tom Hanks's brother 55 pears after lunch today. "
+    docs = [(1, bad + "and then some more words here " * 9 + good, 0, ""), (2, bad + bad, 0, ""), (3, good + bad, 0, "")]
+    args = spark.createDataFrame(docs, DOCS), spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    assert found(decontaminate.contaminated(*args, most_windows=most_windows)) == [("1", 1, "template"), ("3", 1, "template")]
+
+
 def word_list(rng, n):
     return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
 
