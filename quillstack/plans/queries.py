@@ -42,14 +42,13 @@ def _statements(pages: DataFrame) -> DataFrame:
 
 
 def _padding(docs: DataFrame) -> DataFrame:
-    first = F.substring("text", 1, 24)
     return docs.select(
         "doc_id",
         s.padded_left(F.col("lang"), 6, "*").alias("padded_left"),
         s.padded_right(F.col("source"), 8, ".").alias("padded_right"),
         F.octet_length("text").cast("long").alias("bytes"),
         s.truncated(F.col("source"), 4).alias("truncated"),
-        s.is_blank(first).alias("blank"),
+        s.is_blank(F.col("text")).alias("blank"),
         s.short_checksum(s.checksum(F.col("text"))).alias("short_checksum"),
     )
 
