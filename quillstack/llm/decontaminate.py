@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_parts, table
-from .tokens import ChunkHashes
+from .tokens import word_hashes
 
 WINDOW, SIMILARITY, LITERALS, MOST_WINDOWS = 5, 0.8, 3, 1_000_000
 FOUND = "doc_id long, item_id long, reading string, containment double, slots int, consistent double"
@@ -57,13 +57,10 @@ class Words:
     slot: np.ndarray
 
 
-_HASHES = ChunkHashes()
-
-
 def _hashes_of(words: list[str]) -> np.ndarray:
     raw = " ".join(words).encode()
     ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
-    return np.unique(_HASHES(np.frombuffer(raw, dtype=np.uint8), ends - [len(w.encode()) for w in words], ends)[0])
+    return np.unique(word_hashes(np.frombuffer(raw, dtype=np.uint8), ends - [len(w.encode()) for w in words], ends))
 
 
 def _member(h: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -72,10 +69,22 @@ def _member(h: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == h
 
 
-def words_of(texts: list[str]) -> Words:
-    """Words of all texts at once, as arrays."""
+def words_of(texts: list[str], block: int = 1 << 20) -> Words:
+    """Words of all texts, as arrays; about `block` bytes at a time, cut at blanks, where no word and no number goes on."""
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    text_ends = np.cumsum([len(r) + 1 for r in raw])
+    whole, at, parts = b"\n".join(raw) + b"\n", 0, []
+    del raw
+    while at < len(whole):
+        end = len(whole) if len(whole) - at <= block else min(x for x in (whole.find(b" ", at + block), whole.find(b"\n", at + block)) if x >= 0) + 1
+        starts, *columns = _words_in(np.frombuffer(whole, dtype=np.uint8, count=end - at, offset=at))
+        parts.append((np.searchsorted(text_ends, starts + at, side="right"), *columns))
+        at = end
+    return Words(*(np.concatenate(c) for c in zip(*parts))) if len(parts) != 1 else Words(*parts[0])
+
+
+def _words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, plain hash, template hash, slot?) of each word of a run of bytes that ends with a blank."""
     inside = _WORD[data]
     digit = (data >= 48) & (data <= 57)
     point = np.zeros(len(data), dtype=bool)
@@ -87,18 +96,15 @@ def words_of(texts: list[str]) -> Words:
     low = low + (accent * np.uint8(32))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    plain = _HASHES(low, starts, ends)[0]
-    text_ends = np.cumsum([len(r) + 1 for r in raw])
-    text = np.searchsorted(text_ends, starts, side="right")
+    plain = word_hashes(low, starts, ends)
     capital = (data >= 65) & (data <= 90) | accent
     number = digit[starts]
-    capitals = np.concatenate(([0], np.cumsum(capital)))
+    capitals = np.concatenate(([0], np.cumsum(capital, dtype=np.int32)))
     first = capital[starts] | accent[np.minimum(starts + 1, len(data) - 1)] & (data[starts] == 0xC3)
     one_capital = (capitals[ends] - capitals[starts] == 1) & (ends - starts > 1)
     unit, common = _member(plain, _UNIT_HASHES), _member(plain, _COMMON_HASHES)
     name = first & one_capital & ~common & ~number & ~unit
-    template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, plain)))
-    return Words(text, plain, template, number | unit | name)
+    return starts, plain, np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, plain))), number | unit | name
 
 
 _UNIT_HASHES, _COMMON_HASHES = _hashes_of(UNITS), _hashes_of(COMMON)
@@ -299,7 +305,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     def find(batches):
         import pyarrow as pa
 
-        for batch in in_parts(batches, 256):
+        for batch in in_parts(batches, 256, 1):
             docs_of = batch.column(0).to_pylist()
             rows = [(docs_of[t], *rest) for t, *rest in find_in([x or "" for x in batch.column(1).to_pylist()], items, similarity)]
             yield _found(pa, rows)
@@ -319,7 +325,7 @@ def _window_rows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     def emit(batches):
         import pyarrow as pa
 
-        for batch in in_parts(batches, 256):
+        for batch in in_parts(batches, 256, 1):
             keys = np.asarray(batch.column(0))
             words = words_of([x or "" for x in batch.column(1).to_pylist()])
             length = np.bincount(words.text, minlength=len(keys)).astype(np.int32)
@@ -372,16 +378,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     """The rows of docs in which no benchmark item is found."""
     items = _benchmark(benchmark, most_windows, similarity)
     if items is None:
-        from .common import key_of
+        from .common import fresh, key_of
 
-        gone = contaminated(docs, benchmark, similarity, most_windows).select(key_of("doc_id").alias("_gone_key")).distinct()
-        return docs.join(gone, key_of("doc_id") == F.col("_gone_key"), "left_anti")
+        gone = contaminated(docs, benchmark, similarity, most_windows).select(key_of("doc_id").alias(key := fresh(docs, "key"))).distinct()
+        return docs.join(gone, key_of("doc_id") == F.col(key), "left_anti")
     at = docs.columns.index("text")
 
     def clean(batches):
         import pyarrow as pa
 
-        for batch in in_parts(batches, 256):
+        for batch in in_parts(batches, 256, at):
             bad = {t for t, *_ in find_in([x or "" for x in batch.column(at).to_pylist()], items, similarity)}
             yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 

@@ -109,7 +109,7 @@ def store_media(rows: DataFrame, folder: str, id_col: str = "doc_id", data_col:
         import pyarrow as pa
 
         shard = None
-        for batch in in_parts(batches, 512):
+        for batch in in_parts(batches, 512, 1):
             out = []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = data or b""

@@ -151,7 +151,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
         import pyarrow as pa
 
         tok, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
-        for batch in in_parts(batches, 256):
+        for batch in in_parts(batches, 256, 1):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), tok.encode([x or "" for x in batch.column(1).to_pylist()])):
                 ids = np.concatenate([ids, end]).astype("<u4")

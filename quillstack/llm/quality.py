@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveMod
     def compute(batches):
         import pyarrow as pa
 
-        for batch in in_parts(batches, 256):
+        for batch in in_parts(batches, 256, 1):
             values = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7, text_c
     def add(batches):
         import pyarrow as pa
 
-        for batch in in_parts(batches, 512):
+        for batch in in_parts(batches, 512, at):
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()])
             score = model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
@@ -221,7 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample
     def accept(batches):
         import pyarrow as pa
 
-        for batch in in_parts(batches, 512):
+        for batch in in_parts(batches, 512, at):
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(model.score(x) >= threshold))
 

@@ -176,7 +176,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, tok, out = TaskContext.get().partitionId(), encoder(tokenizer), None
-        for batch in in_parts(batches, 256):
+        for batch in in_parts(batches, 256, 1):
             if out is None:
                 out = ShardWriter(uri := f"{folder}/shard-{part:06d}-{uuid.uuid4().hex[:12]}.qst", block, bits)
             texts = [x or "" for x in batch.column(1).to_pylist()]
