@@ -12,8 +12,10 @@ some megabytes of text, written once to the shared folder, and in shards of stri
    text need no sorting. Units get back one bit for each window they sent: whether a smaller doc_id has it.
 4. Units lay the bits over their texts. A copy within the unit whose doc_id isn't the least there is covered without asking.
 
-Hot strings cost each unit one segment, however many documents hold them. All that grows with a shard is arrays of its bytes; suffix queues
-beyond their memory go to disk.
+Hashes only group: segments count as equal if their bytes are. Hot strings cost each unit one segment, however many documents hold them.
+Units and shards have UNIT_BYTES of text, or the square root of PIECE_BYTES times all text if that is more: so the pieces that units and
+shards exchange are as many as the text has PIECE_BYTES, and a task's memory grows with the square root of the input. Pieces stream to the
+task of their shard or unit in order; a shard is worked off in ranges of anchors.
 
 Nulls and odd rows: a null text counts as empty and stays null. A null doc_id counts as smaller than any other; rows with one doc_id
 never remove from each other. Matches never cross documents. Texts shorter than `length` lose nothing. An empty table gives an empty
@@ -23,6 +25,7 @@ result. Columns are carried along, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,14 +35,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, filesystem, new_folder, table, written
+from .common import NO_ID, by_number, dropped, filesystem, groups_of, in_parts, new_folder, table, tidy, written
 from .suffixes import suffix_order
-from .tokens import ChunkHashes
+from .tokens import _MASK, eight_bytes
 
 LENGTH, GRAM = 50, 16
-UNIT_BYTES, SHARD_BYTES, SORT_BYTES, MOST_WINDOWS = 8 << 20, 8 << 20, 2 << 20, 192
+UNIT_BYTES, PIECE_BYTES, SORT_BYTES, MOST_WINDOWS = 8 << 20, 8 << 10, 2 << 20, 192
+#: A shard's windows are compared about so many at a time.
+WINDOWS_AT_ONCE = 1 << 20
+PIECES = "unit string, shard int, data binary"
 _A, _B, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 40
-_HASHES = ChunkHashes()
+
+
+def sizes_for(total: int, least: int = UNIT_BYTES) -> int:
+    """Bytes of text of a unit, and of a shard, for `total` bytes."""
+    return max(least, math.isqrt(total * PIECE_BYTES))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -141,11 +151,11 @@ class Unit:
 
         self.batch, self.length = batch, length
         self.key = np.asarray(batch.column("_key"))
-        body = batch.column("_body").cast("binary")
-        body = pc.fill_null(body, b"")
-        texts = body.to_pylist()
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.doc_n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        body = pc.fill_null(batch.column("_body").cast("large_binary"), b"")
+        _, offsets, data = body.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64, count=len(body) + 1, offset=8 * body.offset)
+        self.data = np.frombuffer(data, dtype=np.uint8, count=int(offsets[-1] - offsets[0]), offset=int(offsets[0])) if data and offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
+        self.doc_n = np.diff(offsets)
         some = self.doc_n > 0  # empty documents have no bytes, so no runs
         self.numbers = np.flatnonzero(some)
         self.doc_at = np.cumsum(self.doc_n) - self.doc_n
@@ -166,13 +176,9 @@ class Unit:
         at = np.searchsorted(shared, self.anchor)
         at[at == len(shared)] = 0
         runs = np.flatnonzero(shared[at] == self.anchor) if len(shared) else np.zeros(0, dtype=np.int64)
-        h1, h2 = segment_hashes(self.data, self.start[runs], self.size[runs] + self.length - 1)
-        order = np.lexsort((self.start[runs], h2, h1, self.anchor[runs]))
-        runs, h1, h2 = runs[order], h1[order], h2[order]
-        a = self.anchor[runs]
-        new = np.ones(len(runs), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        head = np.flatnonzero(new)
+        size = self.size[runs] + self.length - 1
+        order, new = alike(self.anchor[runs], self.data, self.start[runs], size)
+        runs, head = runs[order], np.flatnonzero(new)
         least = np.minimum.reduceat(self.key[self.doc[runs]], head) if len(head) else np.zeros(0, dtype=np.int64)
         return runs, head, least
 
@@ -184,18 +190,28 @@ def _count_before(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each segment; segments in any order, data taken in chunks."""
-    h1, h2 = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.uint64)
-    chunk, order = 1 << 19, np.argsort(start, kind="stable")
-    bounds = np.searchsorted(start[order], np.arange(0, len(data) + chunk, chunk))
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if a < b:
-            rows = order[a:b]
-            s = start[rows] - k * chunk
-            part = data[k * chunk : k * chunk + int((s + size[rows]).max())]
-            h1[rows], h2[rows] = _HASHES(part, s, s + size[rows])
-    return h1, h2
+def alike(anchor: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of segments by anchor with equal ones side by side, and where in it another text begins. A hash finds the order, bytes
+    decide; should texts with one hash alternate, one of them begins more than once, which costs work but changes no result."""
+    words, h = eight_bytes(data, 8), size.astype(np.uint64) * _B
+    most = int(size.max()) if len(size) else 0
+    for k in range(0, most, 8):
+        go = np.flatnonzero(size > k) if k >= LENGTH else slice(None)
+        left = np.clip(size[go] - k, 0, 8)
+        x = (h[go] ^ (words[np.minimum(start[go] + k, len(words) - 1)] & _MASK[left])) * _A
+        h[go] = x ^ (x >> np.uint64(29))
+    h *= _B
+    order = np.argsort(anchor << np.uint64(64 - _BITS) | h >> np.uint64(_BITS), kind="stable")
+    a, h, n = anchor[order], h[order], size[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+    pairs = np.flatnonzero(~new)
+    p, q, n = start[order[pairs]], start[order[pairs - 1]], n[pairs]
+    for k in range(0, most if len(pairs) else 0, 8):
+        go = np.flatnonzero(n > k)
+        differ = ((words[p[go] + k] ^ words[q[go] + k]) & _MASK[np.minimum(n[go] - k, 8)]) != 0
+        new[pairs[go[differ]]] = True
+    return order, new
 
 
 def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -255,174 +271,181 @@ def _read_unit(uri: str, length: int) -> Unit:
         return Unit(pa.ipc.open_file(f).read_all().combine_chunks().to_batches()[0], length)
 
 
-def _by_shard(batches, use) -> Iterator:
-    """use(shard, rows) for each shard of a stream that is sorted by it."""
-    rows: list[dict] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if rows and r["shard"] != rows[0]["shard"]:
-                yield from use(rows[0]["shard"], rows)
-                rows = []
-            rows.append(r)
-    if rows:
-        yield from use(rows[0]["shard"], rows)
-
-
-def _covered(docs: DataFrame, finish, schema, length: int, unit_bytes: int, shard_bytes: int, id_col: str, text_col: str) -> DataFrame:
+def least_of_windows(parts: list[tuple[np.ndarray, ...]], length: int, most: int = WINDOWS_AT_ONCE) -> list[np.ndarray]:
+    """parts: (anchor, windows, key, data) of segments, each part sorted by anchor. For each part, whether each of its windows is in a
+    segment with a smaller key. Ranges of anchors with about `most` windows are compared at a time."""
+    every = np.sort(np.concatenate([p[0] for p in parts]))
+    total = sum(int(p[1].sum()) for p in parts)
+    steps = np.arange(1, -(-total // most)) * len(every) // max(1, -(-total // most))
+    edges = [0, *np.unique(every[steps]).tolist(), 1 << 63]
+    byte_at = [np.concatenate(([0], np.cumsum(p[1].astype(np.int64) + length - 1))) for p in parts]
+    cuts = [np.searchsorted(p[0], np.array(edges, dtype=np.uint64)).tolist() for p in parts]
+    out: list[list[np.ndarray]] = [[] for _ in parts]
+    for e in range(len(edges) - 1):
+        some = [(k, c[e], c[e + 1]) for k, c in enumerate(cuts) if c[e] < c[e + 1]]
+        if not some:
+            continue
+        anchor = np.concatenate([parts[k][0][a:b] for k, a, b in some])
+        windows = np.concatenate([parts[k][1][a:b] for k, a, b in some]).astype(np.int64)
+        key = np.concatenate([parts[k][2][a:b] for k, a, b in some])
+        data = np.concatenate([parts[k][3][byte_at[k][a] : byte_at[k][b]] for k, a, b in some])
+        size = windows + length - 1
+        at = np.cumsum(size) - size
+        order, new = alike(anchor, data, at, size)
+        first = np.flatnonzero(new)
+        head = order[first]
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        group = np.cumsum(np.concatenate(([True], anchor[head][1:] != anchor[head][:-1]))) - 1
+        least = first_keys(data, at[head], windows[head], np.minimum.reduceat(key[order], first), group, length)
+        where, i = np.cumsum(windows[head]) - windows[head], 0
+        for k, a, b in some:
+            mine = slice(i, i + b - a)
+            i += b - a
+            out[k].append(least[ragged(where[number[mine]], windows[mine])] < np.repeat(key[mine], windows[mine]))
+    return [np.concatenate(x) for x in out]
+
+
+def _covered(docs: DataFrame, finish, schema, length: int, unit_bytes: int, id_col: str, text_col: str) -> DataFrame:
     """finish(unit, removed) for each unit, with a mask of the removed bytes: Arrow batches of `schema`."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    folder = new_folder(docs.sparkSession, "units")
+    spark = docs.sparkSession
+    folder = new_folder(spark, "units")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_key")
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), key, F.col(text_col).cast("string").alias("_body"))
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
+    unit_bytes = sizes_for(total, unit_bytes)
+    shards = max(spark.sparkContext.defaultParallelism, -(-total // unit_bytes))
+
+    def pieces(unit: list, shard: list, data: list):
+        return pa.RecordBatch.from_pydict({"unit": pa.array(unit, pa.string()), "shard": pa.array(shard, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def to_units(batches):
         def flush():
             uri = f"{folder}/{uuid.uuid4().hex}.arrow"
             unit = Unit(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
-            _write_unit(held, uri)
+            _write_unit([unit.batch], uri)
             value, many = unit.anchors()
-            cut = np.searchsorted(_shard(value, shards), np.arange(shards + 1))
-            out = [(k, pack(np.diff(value[a:b], prepend=np.uint64(0)), many[a:b])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b] or [(-1, b"")]
-            return pa.RecordBatch.from_pydict({"shard": pa.array([k for k, _ in out], pa.int32()), "unit": [uri] * len(out), "data": pa.array([d for _, d in out], pa.binary())})
+            cut = np.searchsorted(_shard(value, shards), np.arange(shards + 1)).tolist()
+            yield pieces([uri], [-1], [b""])
+            for k, (a, b) in enumerate(zip(cut, cut[1:])):
+                if a < b:
+                    yield pieces([uri], [k], [pack(np.diff(value[a:b], prepend=np.uint64(0)), many[a:b])])
 
         held, size = [], 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                held.append(part)
-                size += pc.sum(pc.binary_length(part.column("_body").cast("binary"))).as_py() or 0
-                if size >= unit_bytes:
-                    yield flush()
-                    held, size = [], 0
+        for part in in_parts(batches, 256, 2):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("_body"))).as_py() or 0
+            if size >= unit_bytes:
+                yield from flush()
+                held, size = [], 0
+                tidy()
         if held:
-            yield flush()
+            yield from flush()
+            held = []
+            tidy()
 
-    sent = written(rows.mapInArrow(to_units, "shard int, unit string, data binary"), "anchors")
+    anchors = new_folder(spark, "anchors")
+    rows.mapInArrow(to_units, PIECES).write.parquet(anchors)
+    sent = spark.read.schema(PIECES).parquet(anchors)
 
     def compare(batches):
-        def one(shard, rows):
+        for shard, rows in groups_of(batches, "shard"):
             parts = [unpack(r["data"]) for r in rows]
             values = [np.cumsum(d, dtype=np.uint64) for d, _ in parts]
-            every = np.concatenate(values)
-            order = np.argsort(every, kind="stable")
-            ranked = every[order]
-            twice = np.zeros(len(every), dtype=bool)
-            if len(every) > 1:
-                same = ranked[1:] == ranked[:-1]
-                twice[order[1:]] |= same
-                twice[order[:-1]] |= same
-            hot = np.unique(np.concatenate([v[m] for v, (_, m) in zip(values, parts)]))
-            twice |= np.isin(every, hot)
-            at = 0
+            # an anchor is shared if two units have it, or two documents of one unit
+            every = np.sort(np.concatenate(values + [v[m] for v, (_, m) in zip(values, parts)]))
+            twice = every[:-1][every[1:] == every[:-1]]
+            hot = twice[np.concatenate(([True], twice[1:] != twice[:-1]))] if len(twice) else twice
+            del every, twice
             for r, v in zip(rows, values):
-                mine = twice[at : at + len(v)]
-                at += len(v)
-                if mine.any():
-                    yield pa.RecordBatch.from_pydict({"unit": [r["unit"]], "shard": pa.array([shard], pa.int32()), "data": [pack(np.diff(v[mine], prepend=np.uint64(0)))]})
-
-        yield from _by_shard(batches, one)
+                mine = np.intersect1d(v, hot, assume_unique=True)
+                if len(mine):
+                    yield pieces([r["unit"]], [shard], [pack(np.diff(mine, prepend=np.uint64(0)))])
+            del parts, values, hot
+            tidy()
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(shards, "shard").sortWithinPartitions("shard", "unit")
-
-    shared = dealt(sent.where(F.col("shard") >= 0)).mapInArrow(compare, "unit string, shard int, data binary")
-    asked = sent.select("unit").distinct().join(shared.groupBy("unit").agg(F.collect_list(F.struct("shard", "data")).alias("parts")), "unit", "left")
-    asked = written(asked, "shared")
-    n_units = max(1, asked.count())
+    units = written(sent.where(F.col("shard") < 0), "names")
+    n_units = max(1, units.count())
+    shared = written(by_number(sent.where(F.col("shard") >= 0), shards, "shard", "unit").mapInArrow(compare, PIECES), "shared")
+    dropped(spark, anchors)
 
     def shared_of(parts) -> np.ndarray:
-        found = [np.cumsum(unpack(p["data"])[0], dtype=np.uint64) for p in sorted(parts or [], key=lambda p: p["shard"])]
+        found = [np.cumsum(unpack(p["data"])[0], dtype=np.uint64) for p in parts]
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
+    def by_unit(df: DataFrame) -> DataFrame:
+        return df.repartition(n_units, "unit").sortWithinPartitions("unit", "shard")
+
     def to_shards(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                if not r["parts"]:
-                    continue
-                unit = _read_unit(r["unit"], length)
-                runs, head, least = unit.segments(shared_of(r["parts"]))
-                first = runs[head]
-                shard = _shard(unit.anchor[first], shards)
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                    if a < b:
-                        f = first[a:b]
-                        data = unit.data[ragged(unit.start[f], unit.size[f] + length - 1)]
-                        packed = pack(np.diff(unit.anchor[f], prepend=np.uint64(0)), unit.size[f].astype(np.uint16), least[a:b], data)
-                        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "unit": [r["unit"]], "data": [packed]})
+        for uri, rows in groups_of(batches, "unit"):
+            unit = _read_unit(uri, length)
+            runs, head, least = unit.segments(shared_of(rows))
+            first = runs[head]
+            cut = np.searchsorted(_shard(unit.anchor[first], shards), np.arange(shards + 1)).tolist()
+            for k, (a, b) in enumerate(zip(cut, cut[1:])):
+                if a < b:
+                    f = first[a:b]
+                    data = unit.data[ragged(unit.start[f], unit.size[f] + length - 1)]
+                    yield pieces([uri], [k], [pack(np.diff(unit.anchor[f], prepend=np.uint64(0)), unit.size[f].astype(np.uint16), least[a:b], data)])
+            del unit, runs, head, least, first
+            tidy()
 
     def to_bits(batches):
-        def one(shard, rows):
-            parts = [unpack(r["data"]) for r in rows]
-            anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-            windows = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            key, data = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-            counts = [len(p[0]) for p in parts]
-            del parts
-            size = windows + length - 1
-            at = np.cumsum(size) - size
-            h1, h2 = segment_hashes(data, at, size)
-            order = np.lexsort((key, h2, h1, anchor))
-            a, b, c = anchor[order], h1[order], h2[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-            head = order[new]  # the one with the least key, as order ends with it
-            number = np.empty(len(order), dtype=np.int64)
-            number[order] = np.cumsum(new) - 1
-            group = np.cumsum(np.concatenate(([True], anchor[head][1:] != anchor[head][:-1]))) - 1
-            least = first_keys(data, at[head], windows[head], key[head], group, length)
-            where = np.cumsum(windows[head]) - windows[head]
-            i = 0
-            for r, n in zip(rows, counts):
-                mine = slice(i, i + n)
-                i += n
-                known = least[ragged(where[number[mine]], windows[mine])]
-                bits = known < np.repeat(key[mine], windows[mine])
-                yield pa.RecordBatch.from_pydict({"unit": [r["unit"]], "shard": pa.array([shard], pa.int32()), "data": [pack(np.packbits(bits))]})
-
-        yield from _by_shard(batches, one)
-
-    by_unit = asked.repartition(n_units)
-    answers = dealt(by_unit.mapInArrow(to_shards, "shard int, unit string, data binary")).mapInArrow(to_bits, "unit string, shard int, data binary")
-    answers = written(answers.groupBy("unit").agg(F.collect_list(F.struct("shard", "data")).alias("bits")), "bits")
+        for shard, rows in groups_of(batches, "shard"):
+            parts = []
+            for r in rows:
+                anchor, windows, key, data = unpack(r.pop("data"))
+                parts.append((np.cumsum(anchor, dtype=np.uint64), windows, key, data))
+            for r, bits in zip(rows, least_of_windows(parts, length)):
+                yield pieces([r["unit"]], [shard], [pack(np.packbits(bits))])
+            del parts, rows
+            tidy()
+
+    answers = by_number(by_unit(shared).mapInArrow(to_shards, PIECES), shards, "shard", "unit").mapInArrow(to_bits, PIECES)
+    answers = written(answers, "bits")
 
     def lay(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                unit = _read_unit(r["unit"], length)
-                begins = np.zeros(len(unit.data), dtype=bool)
-                if r["parts"]:
-                    runs, head, least = unit.segments(shared_of(r["parts"]))
-                    first = runs[head]
-                    shard = _shard(unit.anchor[first], shards)
-                    cut = np.searchsorted(shard, np.arange(shards + 1))
-                    bits = np.zeros(int(unit.size[first].sum()), dtype=bool)
-                    upto = np.concatenate(([0], np.cumsum(unit.size[first])))
-                    for p in r["bits"]:
-                        a, b = int(upto[cut[p["shard"]]]), int(upto[cut[p["shard"] + 1]])
-                        bits[a:b] = np.unpackbits(unpack(p["data"])[0], count=b - a)
-                    number = np.cumsum(np.isin(np.arange(len(runs)), head)) - 1
-                    reach = np.cumsum(unit.size[runs])
-                    cuts = np.unique(np.append(np.searchsorted(reach, np.arange(1 << 19, int(reach[-1]), 1 << 19)), len(runs)))
-                    for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
-                        some, n = runs[a:b], number[a:b]
-                        covered = bits[ragged(upto[:-1][n], unit.size[some])]
-                        covered |= np.repeat(unit.key[unit.doc[some]] > least[n], unit.size[some])
-                        begins[ragged(unit.start[some], unit.size[some])[covered]] = True
-                upto = np.cumsum(begins, dtype=np.int32)
-                removed = upto > 0
-                removed[length:] = upto[length:] > upto[:-length]
-                yield from finish(unit, removed)
-
-    return asked.join(answers, "unit", "left").repartition(n_units).mapInArrow(lay, schema)
-
-
-def repeat_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+        for uri, rows in groups_of(batches, "unit"):
+            unit = _read_unit(uri, length)
+            begins = np.zeros(len(unit.data), dtype=bool)
+            parts = [r for r in rows if r["what"] == 1]
+            if parts:
+                runs, head, least = unit.segments(shared_of(parts))
+                first = runs[head]
+                cut = np.searchsorted(_shard(unit.anchor[first], shards), np.arange(shards + 1))
+                bits = np.zeros(int(unit.size[first].sum()), dtype=bool)
+                upto = np.concatenate(([0], np.cumsum(unit.size[first])))
+                for p in (r for r in rows if r["what"] == 2):
+                    a, b = int(upto[cut[p["shard"]]]), int(upto[cut[p["shard"] + 1]])
+                    bits[a:b] = np.unpackbits(unpack(p["data"])[0], count=b - a)
+                mark = np.zeros(len(runs), dtype=np.int64)
+                mark[head] = 1
+                number = np.cumsum(mark) - 1
+                reach = np.cumsum(unit.size[runs])
+                cuts = np.unique(np.append(np.searchsorted(reach, np.arange(1 << 19, int(reach[-1]), 1 << 19)), len(runs)))
+                for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                    some, n = runs[a:b], number[a:b]
+                    covered = bits[ragged(upto[:-1][n], unit.size[some])]
+                    covered |= np.repeat(unit.key[unit.doc[some]] > least[n], unit.size[some])
+                    begins[ragged(unit.start[some], unit.size[some])[covered]] = True
+                del runs, head, least, first, bits, number, reach
+            upto = np.cumsum(begins, dtype=np.int32)
+            removed = upto > 0
+            removed[length:] = upto[length:] > upto[:-length]
+            del upto, begins
+            yield from finish(unit, removed)
+            del unit, removed
+            tidy()
+
+    marked = [df.withColumn("what", F.lit(k)) for k, df in enumerate((units, shared, answers))]
+    return by_unit(marked[0].unionByName(marked[1]).unionByName(marked[2])).mapInArrow(lay, schema)
+
+
+def repeat_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
 
     def finish(unit: Unit, removed: np.ndarray):
@@ -443,10 +466,10 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(n_removed), pa.array((spans[at + n] - spans[at]).astype(np.int64)), pa.array(sums, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _covered(picked.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, unit_bytes, shard_bytes, "doc_id", "text")
+    return _covered(picked.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, unit_bytes, "doc_id", "text")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """The rows of docs with the repeated bytes cut out of the text; characters that are cut in two go whole. Rows of which nothing is left go."""
     names = docs.columns
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
@@ -469,7 +492,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         for i in range(0, out.num_rows, 2048):
             yield out.slice(i, 2048)
 
-    return _covered(docs, finish, schema, length, unit_bytes, shard_bytes, id_col, text_col)
+    return _covered(docs, finish, schema, length, unit_bytes, id_col, text_col)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

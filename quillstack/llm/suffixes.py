@@ -19,6 +19,8 @@ from collections import deque
 
 import numpy as np
 
+from .tokens import eight_bytes
+
 
 def common_prefix(words: np.ndarray, p: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
     """Equal leading symbols, up to depth, at p and q; words: the 8 bytes from every position on, little end first."""
@@ -36,12 +38,6 @@ def common_prefix(words: np.ndarray, p: np.ndarray, q: np.ndarray, depth: int) -
     return out
 
 
-def eight_bytes(text: np.ndarray, pad: int) -> np.ndarray:
-    """A view of `text` (bytes) whose entry i is the 8 bytes from i on; zeros follow the text for `pad` more entries."""
-    data = np.concatenate([text, np.zeros(pad + 8, dtype=np.uint8)])
-    return np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
-
-
 class Queues:
     """First-in, first-out queues of (position, common prefix) batches, one for each symbol; beyond `memory` bytes they go to disk."""
 

@@ -126,7 +126,7 @@ def test_repeats_equal_brute_force(spark, unit_bytes):
     gone = brute_removed([(k, (t or "").encode()) for k, t, *_ in rows], 50)
     want = sorted((str(k), len(g), int(g.sum()), int((np.diff(g.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer((t or "").encode(), dtype=np.uint8)[~g].tobytes()).hexdigest()) for (k, t, *_), g in zip(rows, gone))
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    got = repeats.repeat_report(docs, unit_bytes=unit_bytes, shard_bytes=2_000).collect()
+    got = repeats.repeat_report(docs, unit_bytes=unit_bytes).collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
     kept = repeats.without_repeats(docs, unit_bytes=unit_bytes)
     assert kept.columns == docs.columns
