@@ -7,6 +7,7 @@ run as well as it goes, and the error names the statement. A run that was killed
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,7 +20,8 @@ from .plans import rollbacks
 from .plans.scripts import rewritten, split_statements
 from .plans.templates import write_script
 from .policy import Policy
-from .sources.catalog import catalog
+from .schemas import EVENTS
+from .sources.catalog import catalog, one_script
 from .sources.config import Config, validate
 from .sources.ledger import Ledger
 from .sources.logs import Log
@@ -95,7 +97,7 @@ class Engine:
         except LedgerError:
             raise
         except Exception as e:
-            raise ConnectionFailed("Failed to initialize", str(e)) from e
+            raise ConnectionFailed("Database and ledger can't be made ready", str(e)) from e
 
     def setup(self) -> None:
         validate(self.config)
@@ -151,15 +153,24 @@ class Engine:
         """Pending scripts in order, at most `steps` of them (0: all), as one batch. Stops at the first failure; those before it stay."""
         self.initialize()
         scripts, ledger = self.catalog(), self.ledger.rows()
-        todo = rollbacks.run_plan(scripts, ledger, steps).orderBy("filename", "filepath").collect()  # a script for each row: they run one by one
-        if todo and (first := ops.drift(scripts, ledger).first()):
-            raise ValidationFailed("Checksum mismatch", f"stored {first['stored']}, current {first['current']}: {first['name']}")
-        done = Done([], todo[0]["batch"] if todo else None)
-        for r in todo:
-            self._run(r["name"], r["up_sql"], r["down_sql"], "up", lambda ms, r=r: self.ledger.record(r["name"], r["batch"], ms, r["checksum"]))
+        if first := ops.drift(scripts, ledger).first():  # also if nothing is pending
+            raise ValidationFailed("An executed script was edited", f"{first['name']}: its checksum was {first['stored']} and is {first['current']}")
+        done = Done([])
+        todo = rollbacks.run_plan(scripts, ledger, steps).orderBy("filename", "filepath").select("name", "filepath", "checksum", "batch")
+        for r in todo.collect():  # names and places: they run one by one, and each body is read when its turn comes
+            done.batch = r["batch"]
+            body = self._body(r)
+            self._run(r["name"], body["up_sql"], body["down_sql"], "up", lambda ms, r=r: self.ledger.record(r["name"], r["batch"], ms, r["checksum"]))
             done.names.append(r["name"])
         return done
 
+    def _body(self, script: Row) -> Row:
+        """Both sections of one script, which must still be what the plan saw."""
+        r = one_script(self.spark, script["filepath"])
+        if r is None or ("checksum" in script and r["checksum"] != script["checksum"]):
+            raise ValidationFailed("A script changed during the run", script["name"])
+        return r
+
     def rollback(self, batch: int | None = None, confirmed: bool = False) -> Done:
         """The last batch by default."""
         self.policy.require("rollback", confirmed)
@@ -197,8 +208,9 @@ class Engine:
 
     def _revert(self, plan: DataFrame) -> Done:
         done = Done([])
-        for r in plan.collect():
-            self._run(r["name"], r["down_sql"], r["up_sql"], "down", lambda ms, r=r: self.ledger.remove(r["name"]))
+        for r in plan.select("name", "filepath").collect():
+            body = self._body(r)
+            self._run(r["name"], body["down_sql"], body["up_sql"], "down", lambda ms, r=r: self.ledger.remove(r["name"]))
             done.names.append(r["name"])
         return done
 
@@ -215,26 +227,61 @@ class Engine:
                     self.spark.catalog.setCurrentDatabase(self.database)
                 self.spark.sql(spark_sql)
             except Exception as e:
-                raise MigrationFailed(f"Failed to execute SQL statement {k}", str(e), name) from e
+                raise MigrationFailed(f"Statement {k} failed", str(e), name) from e
             ran += 1
         return ran
 
     def _run(self, name: str, script: str, back: str, what: str, record) -> None:
+        """Runs a section and records it. Whatever fails, an Up section is taken back as well as it goes, by the Down section."""
         self.ledger.intend(name, what)
         timer = Timer()
         try:
             self.execute(script, name)
             record(timer.milliseconds())
-        except LedgerError as e:
+        except Exception as e:
             self.log.write("ERROR", "Migration", f"{name}: {e}")
-            if what == "up":
-                try:
-                    self.execute(back, name)
-                except MigrationFailed as second:
-                    self.log.write("ERROR", "Migration", f"{name}: couldn't be taken back: {second}")
-            raise
+            if what == "up" and self._taken_back(name, back):
+                self.ledger.undone(name)
+            if isinstance(e, LedgerError):
+                raise
+            raise MigrationFailed("The script ran, but wasn't recorded" if what == "up" else "The script was taken back, but the ledger doesn't show it", str(e), name) from e
         self.log.write("SUCCESS", "Migration", f"{name}: {what} in {timer.milliseconds()} ms")
 
+    def _taken_back(self, name: str, back: str) -> bool:
+        try:
+            self.execute(back, name)
+        except Exception as second:
+            self.log.write("ERROR", "Migration", f"{name}: couldn't be taken back: {second}")
+            return False
+        return True
+
+    # checks
+
+    def check(self) -> DataFrame:
+        """What is wrong with the ledger's table, a row for each column: name, expected, found. Raises if database or table is missing."""
+        if not self.database_exists():
+            raise ValidationFailed("No such database", self.database)
+        if not self.ledger.exists():
+            raise ValidationFailed("The ledger has no table yet", self.ledger.table)
+        columns = lambda fields: self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in fields], "name string, type string")
+        return ops.column_problems(columns(EVENTS.fields), columns(self.ledger.events().schema.fields))
+
+    def check_permissions(self) -> None:
+        """Makes and drops a table of its own in the database."""
+        name = self._name(f"quillstack_probe_{uuid.uuid4().hex[:12]}")
+        try:
+            self.spark.sql(f"CREATE TABLE {name} (id INT) USING parquet")
+            self.spark.sql(f"DROP TABLE {name}")
+        except Exception as e:
+            raise PermissionFailed("Tables can't be made here", str(e)) from e
+
+    def check_connection(self) -> None:
+        """Asks the session for one row."""
+        try:
+            self.spark.sql("SELECT 1").first()
+        except Exception as e:
+            raise ConnectionFailed("The session doesn't answer", str(e)) from e
+
 
 class Client:
     """The same by the names of a small client, for programs."""

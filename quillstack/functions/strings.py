@@ -130,28 +130,29 @@ def quoted(identifier: str) -> str:
     return "`" + identifier.replace("`", "``") + "`"
 
 
+_MARKER_LINE = r"(?md)^[^\n]*?-- \+migrate (?:Up|Down)[^\n]*"
+
+
 def sections(rows: DataFrame, content: str, up: str = "up_sql", down: str = "down_sql") -> DataFrame:
     """rows with the Up and Down sections of a script.
 
-    A line that contains a section's marker begins it and isn't part of it; what stands before the first marker belongs to none; a
-    section that comes again goes on. One pass over the lines of each row's own array, so that a script never leaves its row.
+    A line that contains a section's marker begins it and isn't part of it (Up, if it has both); what stands before the first marker belongs
+    to none; a section that comes again goes on. The text is split at its marker lines, so the work is linear in its length.
     """
-    line = F.split(F.col(content), "\n")
-    kept = F.aggregate(
-        line,
-        F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("up"), F.array().cast("array<string>").alias("down")),
-        lambda a, x: F.when(x.contains("-- +migrate Up"), F.struct(F.lit("up").alias("now"), a["up"].alias("up"), a["down"].alias("down")))
-        .when(x.contains("-- +migrate Down"), F.struct(F.lit("down").alias("now"), a["up"].alias("up"), a["down"].alias("down")))
-        .otherwise(
-            F.struct(
-                a["now"].alias("now"),
-                F.when(a["now"] == "up", F.concat(a["up"], F.array(x))).otherwise(a["up"]).alias("up"),
-                F.when(a["now"] == "down", F.concat(a["down"], F.array(x))).otherwise(a["down"]).alias("down"),
-            )
-        ),
-        lambda a: F.struct(F.array_join(a["up"], "\n").alias("up"), F.array_join(a["down"], "\n").alias("down")),
-    )
-    return rows.withColumn("_sections", kept).select("*", F.col("_sections.up").alias(up), F.col("_sections.down").alias(down)).drop("_sections")
+    text = F.col(content)
+    pieces, markers = F.split(text, _MARKER_LINE), F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(0))
+
+    def lines(i: Column) -> Column:
+        """The lines after marker i (from 0) as one string, null if there are none: line feeds at the ends are those of the marker lines."""
+        piece = F.get(pieces, i + 1)
+        bare = F.when(i + 1 < F.size(markers), F.substring(piece, F.lit(1), F.length(piece) - 1)).otherwise(piece)
+        return F.when(F.length(bare) > 0, F.substring(bare, F.lit(2), F.length(bare)))
+
+    def section(is_up: bool) -> Column:
+        mine = F.transform(markers, lambda m, i: F.when(m.contains("-- +migrate Up") == F.lit(is_up), lines(i)))
+        return F.coalesce(F.array_join(F.filter(mine, lambda x: x.isNotNull()), "\n"), F.lit(""))
+
+    return rows.withColumns({up: section(True), down: section(False)})
 
 
 def statements(rows: DataFrame, sql: str) -> DataFrame:

@@ -29,6 +29,10 @@ def parsed_timestamp(s: Column) -> Column:
     return F.try_to_timestamp(s, F.lit(MIGRATION_FORMAT))
 
 
+def is_port(n: Column) -> Column:
+    return n.between(1, 65535)
+
+
 def whole_milliseconds(seconds: Column) -> Column:
     return F.floor(seconds * 1000).cast("int")
 

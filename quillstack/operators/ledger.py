@@ -20,6 +20,14 @@ def _order(catalog: DataFrame) -> list[str]:
     return ["filename", *([_PLACE] if _PLACE in catalog.columns else [])]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, so that extra columns of theirs never clash with it."""
+    known = {c.lower() for df in frames for c in df.columns}
+    while name in known:
+        name += "_"
+    return name
+
+
 def listing(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy(*_order(catalog))
 
@@ -31,24 +39,30 @@ def executed(ledger: DataFrame) -> DataFrame:
 def one_per_name(catalog: DataFrame) -> DataFrame:
     """The last script, in order, of each name."""
     w = Window.partitionBy("name").orderBy(*(F.desc(c) for c in _order(catalog)))
-    return catalog.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+    place = fresh("place", catalog)
+    return catalog.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def pending(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Scripts that aren't in the ledger, in order; names that come twice are both kept."""
-    return catalog.join(ledger.select(F.col("migration").alias("_done")), F.col("name") == F.col("_done"), "left_anti").orderBy(*_order(catalog))
+    done = fresh("done", catalog)
+    return catalog.join(ledger.select(F.col("migration").alias(done)), F.col("name") == F.col(done), "left_anti").orderBy(*_order(catalog))
 
 
 def orphans(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger rows without a script, the latest first. An addition: rollbacks drop these without a word."""
-    return ledger.join(catalog.select(F.col("name").alias("_known")), F.col("migration") == F.col("_known"), "left_anti").orderBy(F.desc("id"))
+    known = fresh("known", ledger)
+    return ledger.join(catalog.select(F.col("name").alias(known)), F.col("migration") == F.col(known), "left_anti").orderBy(F.desc("id"))
 
 
 def status(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Every script, with executed and the ledger's executed_at, batch and execution_time (null if it isn't executed)."""
-    done = ledger.select(F.col("migration").alias("_done"), "executed_at", "batch", "execution_time")
-    out = catalog.join(done, F.col("name") == F.col("_done"), "left")
-    return out.select(*catalog.columns, F.col("_done").isNotNull().alias("executed"), "executed_at", "batch", "execution_time").orderBy(*_order(catalog))
+    """Every script, with executed and the ledger's executed_at, batch and execution_time (null if it isn't executed); columns of the
+    catalog with one of these names are left out."""
+    mine = ("executed", "executed_at", "batch", "execution_time")
+    scripts = catalog.select(*(f"`{c}`" for c in catalog.columns if c.lower() not in mine))
+    key = fresh("done", scripts)
+    out = scripts.join(ledger.select(F.col("migration").alias(key), *mine[1:]), F.col("name") == F.col(key), "left")
+    return out.select(*(f"`{c}`" for c in scripts.columns), F.col(key).isNotNull().alias("executed"), *mine[1:]).orderBy(*_order(scripts))
 
 
 def status_table(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -64,9 +78,9 @@ def listing_table(catalog: DataFrame) -> DataFrame:
 
 def drift(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Executed scripts whose checksum isn't the recorded one, in order: name, filename, stored, current."""
-    stored = ledger.select(F.col("migration").alias("_done"), F.col("checksum").alias("stored"))
-    out = catalog.join(stored, F.col("name") == F.col("_done")).where(F.col("stored") != F.col("checksum"))
-    return out.orderBy(*_order(catalog)).select("name", "filename", "stored", F.col("checksum").alias("current"))
+    scripts = catalog.select("name", *_order(catalog), F.col("checksum").alias("current"))
+    out = scripts.join(ledger.select(F.col("migration").alias("done"), F.col("checksum").alias("stored")), F.col("name") == F.col("done"))
+    return out.where(F.col("stored") != F.col("current")).orderBy(*_order(catalog)).select("name", "filename", "stored", "current")
 
 
 def last_batch(ledger: DataFrame) -> DataFrame:
@@ -74,6 +88,23 @@ def last_batch(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.coalesce(F.max("batch"), F.lit(0)).alias("last_batch"))
 
 
+def next_batch(ledger: DataFrame) -> DataFrame:
+    """One row: the batch that the next run gets."""
+    return last_batch(ledger).select((F.col("last_batch") + 1).cast("int").alias("next_batch"))
+
+
+def progress(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row: how many scripts there are, how many of them are executed and pending, and whether nothing is pending."""
+    s = status(catalog, ledger)
+    out = s.agg(F.count("*").alias("scripts"), F.count_if("executed").alias("executed"), F.count_if(~F.col("executed")).alias("pending"))
+    return out.withColumn("up_to_date", F.col("pending") == 0)
+
+
+def other_sessions(sessions: DataFrame, database: str, own: int) -> DataFrame:
+    """Sessions (pid, datname) of a database but one's own: those that must end before it can be dropped."""
+    return sessions.where((F.col("datname") == database) & (F.col("pid") != own))
+
+
 def by_batch(ledger: DataFrame, batch: int | Column) -> DataFrame:
     return ledger.where(F.col("batch") == batch).orderBy(F.desc("id"))
 
@@ -101,6 +132,11 @@ def exists(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(condition).limit(1).agg((F.count("*") > 0).alias("found"))
 
 
+def script_names(files: DataFrame) -> DataFrame:
+    """Files (filename) that are scripts: `.sql` at the end, as it is written."""
+    return files.where(F.col("filename").endswith(".sql"))
+
+
 def limited(rows: DataFrame, limit: int) -> DataFrame:
     """The first rows; a limit of 0 or less means all."""
     return rows.limit(limit) if limit > 0 else rows
@@ -108,6 +144,7 @@ def limited(rows: DataFrame, limit: int) -> DataFrame:
 
 def column_problems(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Columns (name, type) that are missing or of another type: name, expected, found."""
-    f = found.select(F.col("name").alias("_name"), F.col("type").alias("found"))
-    out = expected.join(f, F.lower("name") == F.lower("_name"), "left").where(F.col("found").isNull() | (F.lower("found") != F.lower("type")))
-    return out.select("name", F.col("type").alias("expected"), "found").orderBy("name")
+    f = found.select(F.col("name").alias("there"), F.col("type").alias("found"))
+    e = expected.select("name", F.col("type").alias("expected"))
+    out = e.join(f, F.lower("name") == F.lower("there"), "left").where(F.col("found").isNull() | (F.lower("found") != F.lower("expected")))
+    return out.select("name", "expected", "found").orderBy("name")

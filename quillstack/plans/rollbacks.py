@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ledger import last_batch, limited, one_per_name, pending
+from ..operators.ledger import fresh, last_batch, limited, one_per_name, pending
 
 
 def run_plan(catalog: DataFrame, ledger: DataFrame, limit: int = 0) -> DataFrame:
@@ -17,7 +17,8 @@ def run_plan(catalog: DataFrame, ledger: DataFrame, limit: int = 0) -> DataFrame
 def _with_scripts(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Ledger rows that have a script, the latest first; the script's checksum is `current`."""
     scripts = one_per_name(catalog)
-    scripts = scripts.select(*(F.col(c).alias("current" if c == "checksum" else c) for c in scripts.columns))
+    taken = {c.lower() for c in rows.columns} - {"checksum"}  # an extra column of the ledger wins over one of the catalog
+    scripts = scripts.select(*(F.col(f"`{c}`").alias("current" if c == "checksum" else c) for c in scripts.columns if c == "name" or c.lower() not in taken))
     return rows.join(scripts, F.col("migration") == F.col("name")).orderBy(F.desc("id"))
 
 
@@ -40,5 +41,6 @@ def rollback_all(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def rollback_to(catalog: DataFrame, ledger: DataFrame, name: str) -> DataFrame:
     """All that came after the script `name`, which itself stays; nothing if it isn't in the ledger."""
-    after = ledger.where(F.col("migration") == name).agg(F.max("id").alias("_after"))
-    return _with_scripts(ledger.join(F.broadcast(after), F.col("id") > F.col("_after"), "left_semi"), catalog)  # one row on that side
+    place = fresh("after", ledger)
+    after = ledger.where(F.col("migration") == name).agg(F.max("id").alias(place))
+    return _with_scripts(ledger.join(F.broadcast(after), F.col("id") > F.col(place), "left_semi"), catalog)  # one row on that side

@@ -6,11 +6,9 @@ import re
 from datetime import datetime
 
 from ..errors import FileFailed, ValidationFailed
+from ..functions.strings import IRREGULAR
 from ..functions.times import zone_of
 
-_IRREGULAR = {"person": "people", "child": "children", "foot": "feet", "tooth": "teeth", "mouse": "mice", "goose": "geese"}
-
-
 def sanitized(name: str) -> str:
     """functions.strings.sanitized_name for the driver."""
     s = re.sub(r"[ _-]+", "_", re.sub("([a-z0-9])([A-Z])", r"\1_\2", name).lower()).strip("_")
@@ -21,8 +19,8 @@ def sanitized(name: str) -> str:
 def plural(word: str) -> str:
     """functions.strings.plural for the driver."""
     w = word.lower()
-    if not w or w in _IRREGULAR:
-        return _IRREGULAR.get(w, w)
+    if not w or w in IRREGULAR:
+        return IRREGULAR.get(w, w)
     if re.search(r"[^aeiou]y\Z", w):
         return w[:-1] + "ies"
     if re.search(r"(s|sh|ch|x|z)\Z", w):
@@ -53,12 +51,12 @@ def write_script(folder: str, name: str, zone: str = "UTC", at: datetime | None
     """Writes a new script; returns its path. An existing file isn't overwritten."""
     clean = sanitized(name)
     if not clean:
-        raise ValidationFailed("Invalid migration name", name)
+        raise ValidationFailed("No script can have this name", name)
     at = at or datetime.now(zone_of(zone))
     path = f"{folder.rstrip('/')}/{at:%Y_%m_%d_%H%M%S}_{clean}.sql"
     try:
         with open(path, "x", encoding="utf-8", newline="\n") as f:
             f.write(script_text(clean, at))
     except OSError as e:
-        raise FileFailed("Failed to create file", str(e)) from e
+        raise FileFailed("The new script can't be written", str(e)) from e
     return path

@@ -23,6 +23,12 @@ def live(events: DataFrame) -> DataFrame:
     return latest.select(F.col("seq").alias("id"), "migration", "batch", "executed_at", "execution_time", "checksum")
 
 
+def unfinished(events: DataFrame) -> DataFrame:
+    """Scripts whose latest event is an intent: neither applied, nor reverted, nor taken back since."""
+    last = events.groupBy("migration").agg(F.max_by("event", "seq").alias("event"), F.max("seq").alias("seq"))
+    return last.where(F.col("event").startswith("intent:")).orderBy("seq")
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, table: str = "schema_migrations"):
         self.spark, self.table = spark, table
@@ -51,9 +57,9 @@ class Ledger:
     def record(self, migration: str, batch: int, execution_time: int, checksum: str, executed_at: datetime | None = None) -> int:
         """Appends an applied script, with the client's time; returns its id."""
         if len(migration) > 255 or len(checksum) > 64:
-            raise MigrationFailed("Failed to record migration", "value too long for its column", migration)
+            raise MigrationFailed("The ledger takes no such entry", "a name has 255 characters at most, a checksum 64", migration)
         if self.rows().where(F.col("migration") == migration).limit(1).count():
-            raise MigrationFailed("Failed to record migration", "it is in the ledger already", migration)
+            raise MigrationFailed("The ledger takes no second entry", "the script is recorded already", migration)
         seq = self._next()
         self._append([(seq, "applied", migration, batch, executed_at or datetime.now(UTC).replace(tzinfo=None), execution_time, checksum)])
         return seq
@@ -68,7 +74,9 @@ class Ledger:
         self._append([(seq, f"intent:{what}", migration, None, None, None, None)])
         return seq
 
+    def undone(self, migration: str) -> None:
+        """Ends an intent whose script failed and was taken back."""
+        self._append([(self._next(), "undone", migration, None, None, None, None)])
+
     def unfinished(self) -> DataFrame:
-        """Scripts whose intent no applied or reverted event follows."""
-        last = self.events().groupBy("migration").agg(F.max_by("event", "seq").alias("event"), F.max("seq").alias("seq"))
-        return last.where(F.col("event").startswith("intent:")).orderBy("seq")
+        return unfinished(self.events())
