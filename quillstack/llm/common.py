@@ -42,9 +42,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillstack/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    at = new_folder(df.sparkSession, name)
+def written(df: DataFrame, name: str = "table", at: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (`at`, or a fresh one), read again: cuts the lineage and survives lost executors."""
+    at = at or new_folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

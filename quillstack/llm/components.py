@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, new_folder, written
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -13,10 +13,11 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     A large star links the larger neighbours of a vertex with the least of its neighbours and itself, a small star does so with the
     smaller ones and itself; alternating, every component becomes a star in O(log^2) rounds. Each round is written to the shared folder,
-    and the number of links never grows. Null ends are left out; loops and repeated links do no harm; no links give no rows.
+    which the next round's then replaces, and the number of links never grows. Null ends are left out; loops and repeated links do no harm; no links give no rows.
     """
     pairs = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    at = new_folder(links.sparkSession, "links")
+    edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), at=at)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -29,7 +30,9 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where(F.col("u") != F.col("v")).distinct(), "stars")
+        old, at = at, new_folder(links.sparkSession, "stars")
+        edges = written(small.where(F.col("u") != F.col("v")).distinct(), at=at)
+        dropped(links.sparkSession, old)
         after = mark(edges)
         if after == before:
             break

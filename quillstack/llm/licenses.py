@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, table
+from .common import id_of, key_of, table, written
 
 SHINGLE, SIMILARITY, BANDS, MOST_SHINGLES = 5, 0.8, 32, 20_000
 TEMPLATES = [
@@ -41,6 +41,11 @@ TEMPLATES = [
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("isc", "Permission to use, copy, modify and distribute this software for any purpose with or without fee"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0"),
 ]
 
@@ -100,10 +105,10 @@ def license_scan(docs: DataFrame, templates: DataFrame, similarity: float = SIMI
         at = once(F.col("w"), lambda w: once(shingle_hashes(w), lambda h: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(wanted, x), i)), lambda i: i.isNotNull())))
         near = near.select("key", "w", at.alias("at"))
     else:  # too many of them: found by a shuffled join
-        every = texts.select(F.monotonically_increasing_id().alias("row"), "key", "body")
-        every = every.select("row", F.posexplode(once(words(F.col("body")), shingle_hashes)).alias("i", "h"))
+        numbered = written(texts.select(F.monotonically_increasing_id().alias("row"), "key", "body"), "texts")  # so that a text keeps its number
+        every = numbered.select("row", F.posexplode(once(words(F.col("body")), shingle_hashes)).alias("i", "h"))
         found = every.join(library.select(F.explode("picks").alias("h")).distinct(), "h").groupBy("row").agg(F.collect_set("i").alias("at"))
-        near = texts.select(F.monotonically_increasing_id().alias("row"), "key", words(F.col("body")).alias("w")).join(found, "row").select("key", "w", "at")
+        near = numbered.select("row", "key", words(F.col("body")).alias("w")).join(found, "row").select("key", "w", "at")
     spans = F.array(*(F.lit(int(t)) for t in sorted(lengths))).cast("array<int>")
     starts = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda i: F.flatten(F.transform(spans, lambda t: F.array(F.struct(t.alias("t"), F.floor(i / t).cast("int").alias("k")), F.struct(t.alias("t"), F.greatest(F.floor(i / t).cast("int") - 1, F.lit(0)).alias("k"))))))))
     windows = near.select("key", "w", F.explode(starts).alias("s")).select("key", F.col("s.t").alias("t"), (F.col("s.t") * F.col("s.k")).alias("first_word"), F.slice("w", F.col("s.t") * F.col("s.k") + 1, 2 * F.col("s.t") + SHINGLE - 1).alias("part"))

@@ -2,7 +2,8 @@
 
 Each task stores the payloads of its rows as 8-bit greyscale PNG images (lossless) in a tar shard of its own; the name of a member
 is the SHA-256 of its bytes, and a payload that comes again in the same shard is stored once. Rows carry digest, shard, offset and
-length, so a row's payload is one range read, and width, height and sample size need only the first bytes of it.
+length, so a row's payload is one range read. Width, height and sample size are filled in by range reads of the first bytes alone
+(with_metadata), before any payload is read.
 
 Nulls and odd rows: a null or empty text is the payload of one block of padding. Rows with a null doc_id are kept. Equal texts, repeated
 rows included, have equal digests. An empty table gives empty results. Columns other than those named are not read.
@@ -28,7 +29,8 @@ BLOCK, PAD, HEAD = 576, 255, 33
 SHARD_BYTES, READ_BYTES = 256 << 20, 16 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROWS = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int"
+METADATA = "width int, height int, bits int"
 
 
 def padded(data: bytes) -> bytes:
@@ -153,24 +155,22 @@ def _members(batches, head: int | None) -> Iterator:
         yield rows
 
 
-def media_metadata(stored: DataFrame) -> DataFrame:
-    """doc_id, digest, width, height and bits of each row, from a range read of the header alone."""
+def with_metadata(stored: DataFrame) -> DataFrame:
+    """ROWS with METADATA, from a range read of each header alone; rows come out in runs of neighbouring payloads."""
 
     def read(batches):
         import pyarrow as pa
 
         for rows in _members(batches, HEAD):
             heads = [png_head(h) for _, h in rows]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array([r["doc_id"] for r, _ in rows], pa.int64()), "digest": pa.array([r["digest"] for r, _ in rows], pa.string())}
-                | {k: pa.array([h[i] for h in heads], pa.int32()) for i, k in enumerate(("width", "height", "bits"))}
-            )
+            columns = {c.split()[0]: pa.array([r[c.split()[0]] for r, _ in rows], pa.int64() if c.endswith("long") else pa.string()) for c in ROWS.split(", ")}
+            yield pa.RecordBatch.from_pydict(columns | {k: pa.array([h[i] for h in heads], pa.int32()) for i, k in enumerate(("width", "height", "bits"))})
 
-    return _by_place(stored).mapInArrow(read, "doc_id long, digest string, width int, height int, bits int")
+    return _by_place(stored).mapInArrow(read, f"{ROWS}, {METADATA}")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Reads every stored payload back, checks its digest, and computes READ."""
+    """Reads every stored payload back, checks its digest and its header's metadata, and computes READ."""
 
     def read(batches):
         import pyarrow as pa
@@ -185,12 +185,14 @@ def read_media(stored: DataFrame) -> DataFrame:
                         raise ValueError(f"{r['shard']} at {r['offset']}: other bytes than were stored")
                     payload = from_png(media)
                     last, values = digest, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), digest, feature_of(payload))
-                out.append((r["doc_id"], r["n_bytes"], *values))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                if r["width"] * r["height"] * r["bits"] // 8 != values[0]:
+                    raise ValueError(f"{r['shard']} at {r['offset']}: the header says {r['width']} x {r['height']}, there are {values[0]} samples")
+                out.append((r["doc_id"], r["n_bytes"], *values, r["width"], r["height"], r["bits"]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             names = [c.split()[0] for c in READ.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return _by_place(stored).mapInArrow(read, READ)
+    return with_metadata(stored).mapInArrow(read, READ)
 
 
 def op3_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ largest first; mutation dissolves the worst bins. Every few generations the best
 one. An island stops when it reaches the lower bound of its bins.
 
 Between epochs, islands exchange material: full bins are final, and the pieces of all bins that aren't full migrate to new islands,
-so that the part-filled rest of many islands is packed together. This ends when one island holds the rest or an epoch saves nothing.
+so that the part-filled rest of many islands is packed together. This ends when one island holds the rest, or when an epoch saves less
+than LEAST_SAVING of all sequences.
 
 Nulls and odd rows: a null text counts as empty; every document has at least its end id, so at least one piece. Repeated doc_ids
-give rows of their own. An empty table gives an empty result. Only the two named columns are read.
+give rows of their own. An empty table gives an empty result. pack_documents() reads only the two named columns; pack() carries all columns
+of the pieces along, but replaces those named sequence_id or offset.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_parts, table, written
+from .common import fresh, in_parts, table, written
 from .tokens import encoder
 
 #: Pieces of an island (at most about so many), subpopulations of an island, packings in each, generations, generations between migrations.
 ISLAND, DEMES, POPULATION, GENERATIONS, MIGRATE = 2048, 3, 4, 12, 4
+#: An epoch that saves a smaller share of all sequences is the last one.
+LEAST_SAVING = 0.0002
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -163,47 +167,64 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(cut, PIECES)
 
 
-def _island(capacity: int, epoch: int) -> Callable:
-    def pack(key, frame):
-        frame = frame.sort_values("row").reset_index(drop=True)
-        size = frame["length"].tolist()
-        bin_of, offset, fill = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
-        for k, items in enumerate(evolve(size, capacity, seed=int(key[0]))):
-            at = 0
-            for i in items:
-                bin_of[i], offset[i] = k, at
-                at += size[i]
-            fill[items] = at
-        frame["sequence_id"] = (epoch << 56) + (int(key[0]) << 16) + bin_of
-        frame["offset"], frame["fill"] = offset, fill
-        return frame[["row", "length", "sequence_id", "offset", "fill"]]
+def _islands(capacity: int) -> Callable:
+    """Packs the islands of a stream that is sorted by island and row; a bin goes by the least row in it, which no other bin has."""
+
+    def packed(island: int, row: np.ndarray, length: np.ndarray):
+        import pyarrow as pa
+
+        size = length.tolist()
+        bin_of, offset, fill = (np.zeros(len(size), dtype=np.int64) for _ in range(3))
+        for items in evolve(size, capacity, seed=island):
+            at = np.cumsum([size[i] for i in items])
+            bin_of[items], offset[items], fill[items] = row[items].min(), at - length[items], at[-1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, length, bin_of, offset, fill)], names=["row", "length", "sequence_id", "offset", "fill"])
+
+    def pack(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            island, row, length = (np.asarray(batch.column(k)).astype(np.int64) for k in range(3))
+            cuts = [0, *(np.flatnonzero(np.diff(island)) + 1).tolist(), len(island)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and a < b and held[0][0][0] != island[a]:
+                    yield packed(int(held[0][0][0]), *(np.concatenate([h[k] for h in held]) for k in (1, 2)))
+                    held = []
+                if a < b:
+                    held.append((island[a:b], row[a:b], length[a:b]))
+        if held:
+            yield packed(int(held[0][0][0]), *(np.concatenate([h[k] for h in held]) for k in (1, 2)))
 
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int, island: int = ISLAND) -> DataFrame:
-    """`pieces` (written; with a `length` of 1 to `capacity`) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int, island: int = ISLAND, least_saving: float = LEAST_SAVING) -> DataFrame:
+    """`pieces` (with a `length` of 1 to `capacity`) with sequence_id and offset.
 
     Every epoch handles only the bins that the epoch before left part-filled, so the later ones are small.
     """
-    pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    rest = pieces.where(F.col("length") < capacity).select("row", "length")
-    done = [pieces.where(F.col("length") >= capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    n, bins, epoch = rest.count(), None, 0
+    spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
+    key = fresh(pieces, "row")
+    pieces = written(pieces.withColumn(key, F.monotonically_increasing_id()), "pieces")
+    n, units = pieces.agg(F.count_if(F.col("length") < capacity), F.sum("length")).first()
+    rest = pieces.where(F.col("length") < capacity).select(F.col(key).alias("row"), F.col("length").cast("long").alias("length"))
+    done = [pieces.where(F.col("length") >= capacity).select(F.col(key).alias("row"), F.col(key).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    bins, epoch, bar = None, 0, max(1, int(least_saving * (units or 0) / capacity))
     while n:
         groups = -(-n // island)
-        key = F.pmod(F.xxhash64("row", F.lit(epoch)), F.lit(groups)).alias("island")
-        made = rest.select("row", "length", key).groupBy("island").applyInPandas(_island(capacity, epoch), "row long, length long, sequence_id long, offset long, fill long")
-        made = written(made, f"epoch{epoch}")
+        tasks = min(groups, max(8 * spark.sparkContext.defaultParallelism, groups // 64))
+        dealt = rest.select(F.pmod(F.xxhash64("row", F.lit(epoch)), F.lit(groups)).alias("island"), "row", "length")
+        dealt = dealt.repartitionById(tasks, (F.col("island") % tasks).cast("int")).sortWithinPartitions("island", "row")
+        made = written(dealt.mapInArrow(_islands(capacity), "row long, length long, sequence_id long, offset long, fill long"), f"epoch{epoch}")
         loose = made.where(F.col("fill") < capacity)
         n_loose, n_bins = loose.agg(F.count("*"), F.countDistinct("sequence_id")).first()
-        last = groups == 1 or n_loose == n or (bins is not None and n_bins >= bins)
+        last = groups == 1 or n_loose == n or (bins is not None and bins - n_bins < bar)
         done.append((made if last else made.where(F.col("fill") >= capacity)).select("row", "sequence_id", "offset"))
         rest, n, bins, epoch = loose.select("row", "length"), 0 if last else n_loose, n_bins, epoch + 1
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)
-    return pieces.join(placed, "row").drop("row")
+    return pieces.join(placed.withColumnRenamed("row", key), key).drop(key)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

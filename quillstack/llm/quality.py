@@ -9,7 +9,7 @@ Training uses at most `sample` labelled rows, those with the smallest hash of do
 one place where rows are left out; every row is scored. The model is a few kilobytes and goes to the tasks with the function.
 
 Nulls and odd rows: a null text counts as empty and is scored. Labels without doc_id or quality aren't used; of repeated labels of one
-doc_id each is a training row. A null doc_id isn't held out. With no labels, or of one kind only, every score is their smoothed mean.
+doc_id each is a training row. Where a doc_id comes with several texts, the least of them is the one that is labelled. A null doc_id isn't held out. With no labels, or of one kind only, every score is their smoothed mean.
 Empty tables give empty results. Columns other than those named are not read.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_parts, table
+from .common import in_parts, table, written
 
 FEATURES = (
     "log_bytes", "letters", "upper", "digits", "blank", "stops", "marks", "bars", "feeds", "log_words", "word_bytes", "long_words", "words_a_stop",
@@ -185,7 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveMod
             values = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["label", "x"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("body"))
+    rows = written(rows, "labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    # one text for each doc_id, the least one: no more than `sample` rows reach the driver however often a doc_id is repeated
+    texts = texts.join(F.broadcast(rows.select("label_id").distinct()), "label_id", "left_semi").groupBy("label_id").agg(F.min("body").alias("body"))
     got = texts.join(F.broadcast(rows), "label_id").select("label", "body").mapInArrow(compute, "label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = np.array(got.column("label").to_pylist(), dtype=np.float64)

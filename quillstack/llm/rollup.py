@@ -27,7 +27,7 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._text = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils.toString
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _record(self, name: str) -> str:
@@ -56,8 +56,11 @@ class TokenRollup:
         for s in self._fs.listStatus(at):
             name = s.getPath().getName()
             if name.endswith(".json"):
-                text = self.spark.read.text(f"{self.folder}/commits/{name}", wholetext=True).first()
-                out[name[:-5]] = json.loads(text[0])
+                stream = self._fs.open(s.getPath())
+                try:
+                    out[name[:-5]] = json.loads(self._text(stream, "UTF-8"))
+                finally:
+                    stream.close()
         return out
 
     def committed(self, batch: str) -> bool:
@@ -73,9 +76,9 @@ class TokenRollup:
         delta.write.parquet(at)
         return self._create(f"batch-{batch}", {"kind": "batch", "batch": batch, "data": at})
 
-    def totals(self) -> DataFrame:
-        """TOTALS over all committed batches."""
-        records = self._records()
+    def totals(self, records: dict[str, dict] | None = None) -> DataFrame:
+        """TOTALS over all committed batches, or over those of the given records."""
+        records = self._records() if records is None else records
         bases = [r for r in records.values() if r["kind"] == "base"]
         base = max(bases, key=lambda r: len(r["batches"]), default=None)
         paths = [r["data"] for r in records.values() if r["kind"] == "batch" and not (base and r["batch"] in base["batches"])] + ([base["data"]] if base else [])
@@ -86,10 +89,12 @@ class TokenRollup:
         return out.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self) -> None:
-        """Folds all committed batches into one folder; the batches stay known, so they still can't be committed again."""
-        batches = [r["batch"] for r in self._records().values() if r["kind"] == "batch"]
+        """Folds the batches that are committed now into one folder; they stay known, so they still can't be committed again. A batch that
+        is committed meanwhile isn't in it, and counts by itself."""
+        records = self._records()
+        batches = [r["batch"] for r in records.values() if r["kind"] == "batch"]
         at = f"{self.folder}/bases/{uuid.uuid4().hex}"
-        self.totals().write.parquet(at)
+        self.totals(records).write.parquet(at)
         self._create(f"base-{len(batches):09d}-{uuid.uuid4().hex}", {"kind": "base", "batches": batches, "data": at})
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, in_parts, key_of, table, written
+from .common import fresh, id_of, in_parts, key_of, table, written
 from .components import components
 
 BITS, DISTANCE, SHINGLE = 64, 3, 3
@@ -265,13 +265,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, one document of each component: the one with the smallest doc_id. Of several rows with that doc_id one stays."""
+    """The rows of docs, one document of each component: the one with the smallest doc_id. Of several rows with that doc_id the one with
+    the least text stays (a null one first), and of equal texts the one with the least hash of all columns."""
     near = written(near_duplicates(docs, distance), "near")
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key_of("doc_id").alias("_kept_key")).agg(F.count("*").alias("_copies"))
-    out = docs.join(kept.select("_kept_key"), key_of("doc_id") == F.col("_kept_key"), "left_semi")
-    if kept.where("_copies > 1").isEmpty():
+    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key_of("doc_id").alias("key")).agg(F.count("*").alias("copies"))
+    key, row = fresh(docs, "key"), fresh(docs, "row")
+    out = docs.join(kept.select(F.col("key").alias(key)), key_of("doc_id") == F.col(key), "left_semi")
+    if kept.where("copies > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*(F.to_json(F.struct(c)) for c in columns))
+    one = out.groupBy(key_of("doc_id").alias(key)).agg(F.min_by(F.struct(*columns), F.struct(F.col("text").cast("string"), hashed)).alias(row))
+    return one.select(*(F.col(row)[c].alias(c) for c in docs.columns))
 
 
 def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,12 +87,12 @@ def test_media_shards_are_tar_files_and_heads_suffice(spark, tmp_path):
 
     rows = [(1, b"a" * 600), (2, None), (None, b""), (1, b"a" * 600)]
     stored = media.store_media(spark.createDataFrame(rows, "doc_id long, data binary").coalesce(1), f"file://{tmp_path}")
-    heads = {str(r["doc_id"]): (r["width"], r["height"], r["bits"]) for r in media.media_metadata(stored).collect()}
+    heads = {str(r["doc_id"]): (r["width"], r["height"], r["bits"]) for r in media.with_metadata(stored).collect()}
     assert heads == {"1": (576, 2, 8), "2": (576, 1, 8), "None": (576, 1, 8)}
     members = [m for p in tmp_path.glob("*.tar") for m in tarfile.open(p).getmembers()]
     assert len(members) == 2
     empty = media.store_media(spark.createDataFrame([], "doc_id long, data binary"), f"file://{tmp_path}/none")
-    assert media.read_media(empty).count() == 0 and media.media_metadata(empty).count() == 0
+    assert media.read_media(empty).count() == 0 and media.with_metadata(empty).count() == 0
 
 
 def brute_removed(rows, length):
