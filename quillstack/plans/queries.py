@@ -115,6 +115,11 @@ def _column_check(spark: SparkSession, d: str) -> DataFrame:
     return ops.column_problems(columns(LEDGER), columns(views.ledger(spark, d).drop("checksum").withColumn("batch", F.col("batch").cast("long")).schema))
 
 
+def _plain_times(log: DataFrame) -> DataFrame:
+    """The log with times as they are written, without a zone."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def _parameters(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT event_id, value FROM {rows} WHERE event_type = :kind AND value > :least", args={"kind": "purchase", "least": 30.0}, rows=views.table(spark, d, "events"))
 
@@ -161,8 +166,8 @@ QUERIES: dict[str, Query] = {
     "first_row": _ledger(lambda rows: ops.limited(ops.executed(rows), 1)),
     "catalog_parse": lambda spark, d: _catalog_parse(views.script_files(spark, d)),
     "suffix_filter": _table("orders", lambda o: ops.script_names(o.select(F.concat("o_orderstatus", F.lit("_"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".SQL").when(F.col("o_orderkey") % 3 == 1, ".sql").otherwise(".sql.bak")).alias("filename")))),
-    "log_parse": lambda spark, d: logs.parsed(views.log_lines(spark, d)),
-    "log_threshold": lambda spark, d: logs.parsed(views.log_lines(spark, d)).where(logs.at_least("warning")),
+    "log_parse": lambda spark, d: _plain_times(logs.parsed(views.log_lines(spark, d))),
+    "log_threshold": lambda spark, d: _plain_times(logs.parsed(views.log_lines(spark, d)).where(logs.at_least("warning"))),
     "statements": _table("pages", _statements),
     "padding": _table("documents", _padding),
     "names": _table("part", _names),
