@@ -25,18 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir, or what setCheckpointDir was given). Where neither is set, a
     local one if the session has no executors on other machines, as in tests; else this raises."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None) or spark.conf.get("spark.quillstack.shared", None)
     if not at:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = given.get() if given.isDefined() else spark.conf.get("spark.quillstack.shared", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quillstack-")
+        at = local_folder(spark.sparkContext.master)
         spark.conf.set("spark.quillstack.shared", at)
     return at.rstrip("/")
 
 
+def local_folder(master: str) -> str:
+    """A new folder on this machine; only where the executors are on it, too."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="quillstack-")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing folder in the shared one."""
     return f"{shared_dir(spark)}/quillstack/{name}-{uuid.uuid4().hex}"

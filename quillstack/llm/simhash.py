@@ -25,6 +25,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, id_of, in_parts, key_of, table, written
 from .components import components
@@ -253,30 +254,50 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, key_cost: int |
     return probed.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that can be reached."""
+def _grouped(docs: DataFrame, distance: int, id_col: str, text_col: str) -> DataFrame:
+    """key, fp, root (a fingerprint that stands for the component) and component (its smallest key) of every row."""
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
     group = components(fingerprint_links(distinct, distance))  # v, root: fingerprints with links only
     tied = distinct.join(group, distinct["fp"] == group["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = tied.groupBy("root").agg(F.min("first").alias("component"))
-    by_fp = tied.join(least, "root").select("fp", "component")
-    return marked.join(by_fp, "fp").select(id_of("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
+    return marked.join(tied.join(least, "root").select("fp", "root", "component"), "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that can be reached."""
+    rows = _grouped(docs, distance, id_col, text_col)
+    return rows.select(id_of("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, one document of each component: the one with the smallest doc_id. Of several rows with that doc_id the one with
-    the least text stays (a null one first), and of equal texts the one with the least hash of all columns."""
-    near = written(near_duplicates(docs, distance), "near")
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key_of("doc_id").alias("key")).agg(F.count("*").alias("copies"))
-    key, row = fresh(docs, "key"), fresh(docs, "row")
-    out = docs.join(kept.select(F.col("key").alias(key)), key_of("doc_id") == F.col(key), "left_semi")
-    if kept.where("copies > 1").isEmpty():
+    """The rows of docs, one of each component: the one with the smallest doc_id. Of several rows with that doc_id in the component the one
+    with the least text stays (a null one first), and of equal texts the one with the least hash of all columns."""
+    near = written(_grouped(docs, distance, "doc_id", "text"), "near")
+    by_key = near.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.col("key") == F.col("component")).alias("kept")).where("kept")
+    key, row, fp = fresh(docs, "key"), fresh(docs, "row"), fresh(docs, "fp")
+    picked = lambda keys: docs.join(keys.select(F.col("key").alias(key)), key_of("doc_id") == F.col(key), "left_semi")
+    out = picked(by_key.where("rows = 1"))
+    if by_key.where("rows > 1").isEmpty():
         return out
+    # doc_ids that come again: their rows are told apart by their fingerprints
+    rows, names, at = picked(by_key.where("rows > 1")), docs.columns, docs.columns.index("text")
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for batch in in_parts(batches, 512):
+            values = np.array([fingerprint(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*names, fp])
+
+    marked = rows.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    of = near.where(F.col("key") == F.col("component")).select(F.col("key").alias(key), F.col("fp").alias(row), "root").distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = F.xxhash64(*(F.to_json(F.struct(c)) for c in columns))
-    one = out.groupBy(key_of("doc_id").alias(key)).agg(F.min_by(F.struct(*columns), F.struct(F.col("text").cast("string"), hashed)).alias(row))
-    return one.select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    whole = marked.select(key_of("doc_id").alias("one_key"), F.col(fp).alias("one_fp"), F.struct(*columns).alias("one_row"), F.struct(F.col("text").cast("string"), hashed).alias("one_rank"))
+    joined = whole.join(of, (F.col("one_key") == F.col(key)) & (F.col("one_fp") == F.col(row)))
+    one = joined.groupBy("one_key", "root").agg(F.min_by("one_row", "one_rank").alias("one_row"))
+    return out.unionByName(one.select(*(F.col("one_row")[c].alias(c) for c in docs.columns)))
 
 
 def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

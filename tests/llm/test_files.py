@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from quillstack.llm import media, packing, repeats, rollup, suffixes, token_files, tokens
+from quillstack.llm import common, media, packing, queries, repeats, rollup, suffixes, token_files, tokens
 from tokenizers import Tokenizer
 
 from ..conftest import DATA, same_as_sql
@@ -36,6 +36,28 @@ def test_chunked_ids_equal_whole_ids(bpe):
             assert ids.tolist() == bpe.encode(text, add_special_tokens=False).ids, text
 
 
+def test_chunks_with_equal_hashes_keep_their_own_ids(bpe):
+    """Thue-Morse strings: polynomial hashes of them collide, whatever the base."""
+    encoder = tokens.ChunkEncoder(BPE)
+    for n in (1024, 2048, 4096):
+        x = "a"
+        while len(x) < n:
+            x += x.translate(str.maketrans("ab", "ba"))
+        y = x.translate(str.maketrans("ab", "ba"))
+        for group in ([x, y], [y], [x], [f"w {x} {y} z"]):
+            for text, ids in zip(group, encoder.encode(group)):
+                assert ids.tolist() == bpe.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("most", [5, 40, 1 << 19])
+def test_long_texts_are_encoded_in_parts(bpe, most):
+    rng = np.random.default_rng(most)
+    encoder = tokens.ChunkEncoder(BPE)
+    texts = [" ".join(rng.choice(["a", "été", "it's", "x,y", "Straße", "日本", "12", "a\nb", "internationalisations"], 50)) for _ in range(20)]
+    for text, ids in zip(texts, encoder.encode(texts, most)):
+        assert ids.tolist() == bpe.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_equal_brute_force(spark, bpe):
     at, want = 0, {}
     for r in documents(spark):
@@ -254,3 +276,65 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, bpe, monkeypatch):
     got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in p.run(spark, folder).collect()}
     assert got == want and 100 < len(kept) < 1000
     assert [n for n, _ in p.STAGES] == ["quality classifier", "simhash near-dedup", "suffix-array dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    made = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    rows = lambda *x: spark.createDataFrame(list(x), "source string, lang string, tokenizer string, tokens long")
+    made.commit("1", rollup.inserted(rows(("a", "en", "t", 5))))
+    totals = rollup.TokenRollup.totals
+
+    def late(self, records=None):
+        monkeypatch.setattr(rollup.TokenRollup, "totals", totals)
+        self.commit("2", rollup.inserted(rows(("a", "en", "t", 7))))
+        return totals(self, records)
+
+    monkeypatch.setattr(rollup.TokenRollup, "totals", late)
+    made.compact()
+    assert [tuple(r) for r in made.totals().collect()] == [("a", "en", "t", 2, 12)]
+
+
+def test_pieces_may_have_columns_of_any_names(spark):
+    pieces = spark.createDataFrame([(1, 60, 9, "x"), (2, 40, 9, "y"), (3, 100, 9, "z")], "row long, length long, sequence_id int, offset string")
+    got = packing.pack(pieces, 100).collect()
+    assert sorted((r["row"], r["length"]) for r in got) == [(1, 60), (2, 40), (3, 100)] and len({r["sequence_id"] for r in got}) == 2
+
+
+@pytest.fixture
+def odd_tables(spark, tmp_path):
+    """A folder of tables with nulls, empty and long texts, repeated rows and extra columns; and one of empty tables."""
+    docs = "doc_id long, text string, lang string, source string, n_chars long, key string, unit string, shard int, score_ int"
+    text = "The cat sat on the mat and looked at the dog for a while, then it went away to sleep. " * 4
+    rows = [(1, text, "en", "a", 5, "k", "u", 1, 1), (1, text, "en", "a", 5, "k", "u", 1, 1), (2, text + "More words.", None, None, None, None, None, None, None)]
+    rows += [(3, None, "de", "b", 0, "", "", 0, 0), (4, "", "de", "b", 0, "", "", 0, 0), (None, "no id " * 30, "fr", "c", 1, "", "", 0, 0), (5, "word " * 50_000, "es", "d", 1, "", "", 0, 0), (None, None, None, None, None, None, None, None, None)]
+    for name, some in (("odd", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, docs).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (5, 0, 1), (5, None, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, "cat sat on the mat and looked at"), (None, "x"), (2, None)] if some else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return f"file://{tmp_path}"
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_queries_take_odd_rows_and_empty_tables(spark, odd_tables, name):
+    n = queries.QUERIES[name](spark, f"{odd_tables}/odd").count()
+    if name in ("op1_simhash_pigeonhole", "op2_token_planes", "op3_media_shards", "op4_suffix_repeats", "op8_quality_gam"):
+        assert n == 8
+    assert n > 0 or name == "op5_license_bands"
+    assert queries.QUERIES[name](spark, f"{odd_tables}/none").count() == 0
+
+
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd_tables):
+    import corpus_pipeline as p
+
+    assert p.run(spark, f"{odd_tables}/none").count() == 0
+    p.run(spark, f"{odd_tables}/odd").collect()
+    docs = spark.read.parquet(f"{odd_tables}/odd/documents.parquet")
+    for _, stage in p.STAGES[1:4]:
+        assert stage(spark, docs, f"{odd_tables}/odd").columns == docs.columns
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    assert common.local_folder("local[4]").startswith("file:///")
+    with pytest.raises(RuntimeError):
+        common.local_folder("spark://host:7077")

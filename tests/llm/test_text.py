@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from quillstack.llm import chains, components, decontaminate, licenses, quality, simhash
+from quillstack.llm import chains, components, decontaminate, licenses, quality, repeats, simhash
 
 from ..conftest import DATA, same_as_sql
 
@@ -258,3 +258,223 @@ def test_chains_equal_brute_force():
         assert sorted(b for c in made for b in c) == blocks
         total = lambda c: sum(n for *_, n in c) - sum(chains.GAP * ((v[0] - u[0] - u[2]) + (v[1] - u[1] - u[2])) for u, v in zip(c, c[1:]))
         assert max(map(total, made)) == pytest.approx(max(score.values()))
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_copies_in_units_of_their_own(spark, parts):
+    text = " ".join(word_list(np.random.default_rng(1), 70))
+    docs = spark.createDataFrame([(1, text, 0, ""), (2, text, 0, "")], DOCS).repartition(parts, "doc_id")
+    got = [(r["doc_id"], r["partner_id"], r["n_words"]) for r in chains.repeated_passages(docs).collect()]
+    assert got == [(2, 1, 70)]
+
+
+@pytest.mark.parametrize("parts", [1, 80])
+def test_passages_that_grow_far_from_their_core(spark, parts):
+    """A core of 26 equal words, and every fourth word changed on either side of it: 58 words, 50 of them equal."""
+    rng, docs = np.random.default_rng(9), []
+    for k in range(40):
+        passage = word_list(rng, 58)
+        fuzzy = [w if 16 <= i < 42 or i % 4 else f"other{k}x{i}" for i, w in enumerate(passage)]
+        docs += [(k, " ".join(word_list(rng, 40) + passage + word_list(rng, 40)), 0, ""), (1000 + k, " ".join(word_list(rng, 30) + fuzzy + word_list(rng, 50)), 0, "")]
+    rows = spark.createDataFrame(docs, DOCS).repartition(parts, "doc_id")
+    assert {(r["doc_id"], r["partner_id"]) for r in chains.repeated_passages(rows).collect()} == {(1000 + k, k) for k in range(40)}
+
+
+def test_recall_of_passages_against_all_pairs(spark):
+    """Documents with 50 words in a row of which 40 are those of an earlier document, by all pairs and all their diagonals."""
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
+    words = [decontaminate.words_of([t]).plain for _, t in rows]
+    grams = [{} for _ in rows]
+    for g, w in zip(grams, words):
+        for i in range(len(w) - 3):
+            g.setdefault(tuple(w[i : i + 4].tolist()), []).append(i)
+    want = set()
+    for j in range(len(rows)):
+        for i in range(j):
+            if rows[j][0] in want or len(words[i]) < 50 or len(words[j]) < 50:
+                continue
+            for d in {y - x for g in grams[j].keys() & grams[i].keys() for x in grams[j][g][:50] for y in grams[i][g][:50]}:
+                lo, hi = max(0, -d), min(len(words[j]), len(words[i]) - d)
+                same = np.cumsum(np.concatenate(([0], words[j][lo:hi] == words[i][lo + d : hi + d])))
+                if len(same) > 50 and (same[50:] - same[:-50]).max() >= 40:
+                    want.add(rows[j][0])
+                    break
+    got = {r["doc_id"] for r in chains.repeated_passages(spark.read.parquet(f"{DATA}/documents.parquet"), unit_bytes=20_000).collect()}
+    assert want and len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
+
+
+def brute_train(x, y, rounds, pair_rounds, pairs):
+    """The additive model by plain loops over rows and borders."""
+    n, m = x.shape
+    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for k in range(m)]
+    b = [[sum(v >= e for e in edges[k]) for v in x[:, k]] for k in range(m)]
+    mean = (y.sum() + 1) / (n + 2)
+    start = np.log(mean / (1 - mean))
+    tables, grids, chosen = [[0.0] * (len(e) + 1) for e in edges], [], []
+
+    def slopes():
+        out = []
+        for r in range(n):
+            t = start + sum(tables[k][b[k][r]] for k in range(m)) + sum(g[b[i][r]][b[j][r]] for (i, j), g in zip(chosen, grids))
+            p = 1 / (1 + np.exp(-t))
+            out.append((p - y[r], p * (1 - p)))
+        return out
+
+    part = lambda rows: (sum(g for g, _ in rows), sum(h for _, h in rows))
+    worth = lambda rows: part(rows)[0] ** 2 / (part(rows)[1] + quality.RIDGE)
+    leaf = lambda rows: -part(rows)[0] / (part(rows)[1] + quality.RIDGE)
+
+    def best(rows_by_bin, a, c):
+        flat = lambda u, v: [z for q in range(u, v) for z in rows_by_bin[q]]
+        gains = [(worth(flat(a, t)) + worth(flat(t, c)) - worth(flat(a, c)), -t) for t in range(a + 1, c)]
+        return max(gains, default=(0.0, -a))
+
+    for _ in range(rounds):
+        for k in range(m):
+            s, size = slopes(), len(tables[k])
+            bins = [[s[r] for r in range(n) if b[k][r] == q] for q in range(size)]
+            gain, cut = best(bins, 0, size)
+            if gain <= 1e-12:
+                continue
+            cuts = {0, -cut, size}
+            (left, at_left), (right, at_right) = best(bins, 0, -cut), best(bins, -cut, size)
+            cuts |= {-at_left} if left >= right and left > 1e-12 else {-at_right} if right > 1e-12 else set()
+            cuts = sorted(cuts)
+            for u, v in zip(cuts, cuts[1:]):
+                value = leaf([z for q in range(u, v) for z in bins[q]])
+                for q in range(u, v):
+                    tables[k][q] += quality.RATE * value
+
+    def quadrants(i, j):
+        s = slopes()
+        out = (0.0, None)
+        for u in range(1, len(tables[i])):
+            for v in range(1, len(tables[j])):
+                cells = [[s[r] for r in range(n) if (b[i][r] < u) == p and (b[j][r] < v) == q] for p in (True, False) for q in (True, False)]
+                gain = sum(map(worth, cells)) - worth(s)
+                if out[1] is None or gain > out[0] + 1e-12:
+                    out = (gain, (u, v, [leaf(c) for c in cells]))
+        return out
+
+    ranked = sorted(((quadrants(i, j)[0], (i, j)) for i in range(m) for j in range(i)), reverse=True)
+    picked = [p for g, p in ranked[:pairs] if g > 0]
+    for i, j in picked:
+        chosen.append((i, j))
+        grids.append([[0.0] * len(tables[j]) for _ in tables[i]])
+    for _ in range(pair_rounds):
+        for (i, j), g in zip(chosen, grids):
+            u, v, leaves = quadrants(i, j)[1]
+            for p in range(len(tables[i])):
+                for q in range(len(tables[j])):
+                    g[p][q] += quality.RATE * leaves[2 * (p >= u) + (q >= v)]
+    return [1 / (1 + np.exp(-(start + sum(tables[k][b[k][r]] for k in range(m)) + sum(g[b[i][r]][b[j][r]] for (i, j), g in zip(chosen, grids))))) for r in range(n)]
+
+
+def test_additive_model_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    for name, value in (("ROUNDS", 3), ("PAIR_ROUNDS", 2), ("PAIRS", 2), ("BINS", 5)):
+        monkeypatch.setattr(quality, name, value)
+    x = rng.normal(size=(60, 3))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=60) / 2) > 0).astype(float)
+    model = quality.train(x, y)
+    assert model.score(x) == pytest.approx(brute_train(x, y, 3, 2, 2), abs=1e-9)
+
+
+def brute_templates(docs, items):
+    """(document, item) in the template reading: an item laid at every place of a text, without gaps."""
+    import re
+
+    def cut(text):
+        out = []
+        for w in re.findall(r"[A-Za-z0-9]+(?:[.,](?=\d)[0-9]+)*", text):
+            low = w.lower()
+            kind = "<n>" if w[0].isdigit() else "<u>" if low in decontaminate.UNITS else "<x>" if w[0].isupper() and w[1:].islower() and low not in decontaminate.COMMON else None
+            out.append((low, kind))
+        return out
+
+    found = set()
+    for i, item in items:
+        a = cut(item)
+        grams = lambda w: {tuple(k or z for z, k in w[p : p + 5]) for p in range(len(w) - 4)}
+        need = grams(a)
+        for d, text in docs:
+            b = cut(text)
+            for at in range(-len(a) + 1, len(b)):
+                lay = [(p, at + p) for p in range(len(a)) if 0 <= at + p < len(b)]
+                here = {tuple(k or z for z, k in a[p : p + 5]) for p, q in lay if p + 5 <= len(a) and q + 5 <= len(b) and [k or z for z, k in a[p : p + 5]] == [k or z for z, k in b[q : q + 5]]}
+                if len(here) < 0.8 * len(need):
+                    continue
+                seen = {}
+                for p, q in lay:
+                    if a[p][1] and a[p][1] == b[q][1]:
+                        seen.setdefault(a[p][0], []).append(b[q][0])
+                total = sum(map(len, seen.values()))
+                if total and sum(max(map(v.count, v)) for v in seen.values()) >= 0.8 * total:
+                    found.add((d, i))
+    return found
+
+
+def test_template_reading_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    names, verbs, things = "Ann Bob Carl Dora Eve Frank Gina Hugo".split(), "buys sells counts paints".split(), "apples chairs lamps books".split()
+    frame = "{0} {v} {1} {t} for {2} dollars and {3} {v} {4} {t} before {0} goes home with {1} {t} that weigh {5} kg in the {x} of May"
+    items, docs = [], []
+    for k in range(12):
+        word = f"town{k}"
+        fill = lambda vary: frame.format(rng.choice(names), rng.randint(2, 99), rng.randint(2, 99), rng.choice(names), rng.randint(2, 99), rng.randint(2, 99), v=verbs[k % 4], t=things[k // 4], x=vary)  # noqa: E731, B023
+        items.append((k, fill(word)))
+        noise = lambda: " ".join(word_list(np.random.default_rng(rng.randint(0, 9999)), 30))
+        docs.append((10 * k, f"{noise()} {fill(word)} {noise()}"))
+        docs.append((10 * k + 1, f"{noise()} {fill(word).replace(verbs[k % 4], 'eats')} {noise()}"))
+        broken = fill(word).split()
+        docs.append((10 * k + 2, f"{noise()} {' '.join(names[(p + len(w)) % 8] if w in names else str(rng.randint(100, 999)) if w.isdigit() else w for p, w in enumerate(broken))} {noise()}"))
+        docs.append((10 * k + 3, f"{noise()} {' '.join(broken[:14])} {noise()}"))
+    want = brute_templates(docs, items)
+    rows = spark.createDataFrame([(d, t, 0, "") for d, t in docs], DOCS)
+    got = decontaminate.contaminated(rows, spark.createDataFrame(items, "item_id long, text string")).where("reading = 'template'").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) >= 12
+
+
+def test_equal_items_are_judged_each(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 0, ""), (1, "a b c d e f g", 0, "")], DOCS)
+    items = spark.createDataFrame([(1, "b c d e f"), (2, "b c d e f"), (2, "b c d e f")], "item_id long, text string")
+    for most in (1_000_000, 0):
+        got = found(decontaminate.contaminated(docs, items, most_windows=most))
+        assert got == [("1", 1, "plain")] * 2 + [("1", 2, "plain")] * 2
+
+
+def test_extra_columns_may_have_any_names(spark):
+    rows = [(1, "some words here now", "a", "b", 1, "c"), (2, "some words here now", "a", "b", 2, "c"), (2, "another text of its own", "a", "b", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, `KEY_` string, row int, _kept_key string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r["row"] for r in kept.collect()) == [1, 3]
+    items = spark.createDataFrame([(1, "another text of its own")], "item_id long, text string")
+    for most in (1_000_000, 0):
+        assert {r["doc_id"] for r in decontaminate.decontaminated(docs.where("row > 1"), items, most_windows=most).collect()} <= {2}
+        assert decontaminate.decontaminated(docs, items, most_windows=most).columns == docs.columns
+
+
+def test_of_repeated_doc_ids_a_defined_row_stays(spark):
+    rows = [(1, "b b b", 5, "x"), (1, "a a a", 6, "x"), (1, None, 7, "x"), (2, "b b b", 8, "x"), (1, "B b  b", 9, "x"), (None, "c c c", 10, "x"), (None, "c c c", 11, "x"), (None, "d d d", 12, "x")]
+    kept = []
+    for parts in (1, 3):
+        got = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()
+        kept.append(sorted((str(r["doc_id"]), r["mask"]) for r in got))
+    assert kept[0] == kept[1] and {m for _, m in kept[0]} - {10, 11} == {6, 7, 9, 12} and len(kept[0]) == 5
+
+
+def test_a_very_long_text(spark):
+    """20 MB in one row, through everything that reads words or bytes."""
+    rng = np.random.default_rng(11)
+    known = word_list(rng, 3000)
+    long = " ".join(known[i] for i in rng.integers(0, 3000, 3_000_000).tolist())
+    item = " ".join(long.split(" ", 2000)[1000:1040])
+    docs = spark.createDataFrame([(1, item, 0, ""), (2, long, 0, ""), (3, "x" * 3_000_000, 0, ""), (4, " ".join(known[:60]), 0, "")], DOCS)
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == {1, 2}
+    assert len(long) > 20_000_000 and simhash.near_duplicates(docs).count() == 4
+    assert {(r["doc_id"], r["partner_id"]) for r in chains.repeated_passages(docs, min_words=30).collect()} >= {(2, 1)}
+    removed = {r["doc_id"]: r["n_removed"] for r in repeats.repeat_report(docs).collect()}
+    assert removed[2] >= len(item) and removed[1] == removed[3] == 0
