@@ -17,8 +17,19 @@ from ..shipping import ship
 NO_ID = -(2**63)
 
 
+#: Rows of an Arrow batch on its way to Python, where the session doesn't say otherwise: texts may be long, and Spark's default is by rows.
+ARROW_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +58,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str = "table", at: str | None = None) -> DataFrame:
     """df as a table in the shared folder (`at`, or a fresh one), read again: cuts the lineage and survives lost executors."""
+    small_batches(df.sparkSession)
     at = at or new_folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

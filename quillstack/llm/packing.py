@@ -212,7 +212,7 @@ def pack(pieces: DataFrame, capacity: int, island: int = ISLAND, least_saving: f
     bins, epoch, bar = None, 0, max(1, int(least_saving * (units or 0) / capacity))
     while n:
         groups = -(-n // island)
-        tasks = min(groups, max(8 * spark.sparkContext.defaultParallelism, groups // 64))
+        tasks = min(groups, max(2 * spark.sparkContext.defaultParallelism, groups // 64))
         dealt = rest.select(F.pmod(F.xxhash64("row", F.lit(epoch)), F.lit(groups)).alias("island"), "row", "length")
         dealt = dealt.repartitionById(tasks, (F.col("island") % tasks).cast("int")).sortWithinPartitions("island", "row")
         made = written(dealt.mapInArrow(_islands(capacity), "row long, length long, sequence_id long, offset long, fill long"), f"epoch{epoch}")
