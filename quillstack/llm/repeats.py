@@ -143,6 +143,26 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def ordered(values: np.ndarray, bits: int) -> np.ndarray:
+    """A stable order of values of `bits` bits; with their places in the free bits, if they fit, plain sorting will do, which is far faster."""
+    free = int(len(values)).bit_length()
+    if bits + free > 64:
+        return np.argsort(values, kind="stable")
+    return (np.sort(values << np.uint64(free) | np.arange(len(values), dtype=np.uint64)) & np.uint64((1 << free) - 1)).astype(np.int64)
+
+
+def among(values: np.ndarray, known: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the values (of `bits` bits) that are in `known` (ascending); a table of leading bits leaves most others out before the search."""
+    if not len(known):
+        return np.zeros(0, dtype=np.int64)
+    shift, sieve = np.uint64(max(0, bits - 22)), np.zeros(1 << min(22, bits), dtype=bool)
+    sieve[known >> shift] = True
+    some = np.flatnonzero(sieve[values >> shift])
+    at = np.searchsorted(known, values[some])
+    at[at == len(known)] = 0
+    return some[known[at] == values[some]]
+
+
 class Unit:
     """The documents of a unit file, in its order."""
 
@@ -164,7 +184,7 @@ class Unit:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors, ascending, and whether two doc_ids here have it."""
-        order = np.argsort(self.anchor, kind="stable")
+        order = ordered(self.anchor, _BITS)
         value, key = self.anchor[order], self.key[self.doc[order]]
         head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, dtype=np.int64)
         if not len(head):
@@ -173,9 +193,7 @@ class Unit:
 
     def segments(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs with an anchor of `shared` (ascending), ordered by anchor and text; the first run of each distinct text; its least key."""
-        at = np.searchsorted(shared, self.anchor)
-        at[at == len(shared)] = 0
-        runs = np.flatnonzero(shared[at] == self.anchor) if len(shared) else np.zeros(0, dtype=np.int64)
+        runs = among(self.anchor, shared, _BITS)
         size = self.size[runs] + self.length - 1
         order, new = alike(self.anchor[runs], self.data, self.start[runs], size)
         runs, head = runs[order], np.flatnonzero(new)

@@ -61,16 +61,21 @@ class Queues:
         self.queues[symbol].append((at, len(positions), positions.dtype))
 
     def take(self, symbol: int):
-        """The oldest batch of a symbol, or None."""
-        if not self.queues[symbol]:
-            return None
-        batch = self.queues[symbol].popleft()
-        if len(batch) == 2:
-            self.used -= batch[0].nbytes + batch[1].nbytes
-            return batch
-        at, n, kind = batch
-        self.file.seek(at)
-        return np.frombuffer(self.file.read(n * kind.itemsize), dtype=kind), np.frombuffer(self.file.read(n), dtype=np.uint8)
+        """The oldest batches of a symbol as one, of at most about a quarter of `memory` (one batch at least), or None."""
+        queue, parts, size = self.queues[symbol], [], 0
+        while queue and (not parts or size <= self.memory // 4):
+            batch = queue.popleft()
+            if len(batch) == 2:
+                self.used -= batch[0].nbytes + batch[1].nbytes
+            else:
+                at, n, kind = batch
+                self.file.seek(at)
+                batch = np.frombuffer(self.file.read(n * kind.itemsize), dtype=kind), np.frombuffer(self.file.read(n), dtype=np.uint8)
+            parts.append(batch)
+            size += batch[0].nbytes
+        if len(parts) < 2:
+            return parts[0] if parts else None
+        return np.concatenate([p for p, _ in parts]), np.concatenate([v for _, v in parts])
 
     def close(self) -> None:
         if self.file is not None:
