@@ -140,19 +140,22 @@ def sections(rows: DataFrame, content: str, up: str = "up_sql", down: str = "dow
     to none; a section that comes again goes on. The text is split at its marker lines, so the work is linear in its length.
     """
     text = F.col(content)
-    pieces, markers = F.split(text, _MARKER_LINE), F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(0))
-
-    def lines(i: Column) -> Column:
-        """The lines after marker i (from 0) as one string, null if there are none: line feeds at the ends are those of the marker lines."""
-        piece = F.get(pieces, i + 1)
-        bare = F.when(i + 1 < F.size(markers), F.substring(piece, F.lit(1), F.length(piece) - 1)).otherwise(piece)
-        return F.when(F.length(bare) > 0, F.substring(bare, F.lit(2), F.length(bare)))
-
-    def section(is_up: bool) -> Column:
-        mine = F.transform(markers, lambda m, i: F.when(m.contains("-- +migrate Up") == F.lit(is_up), lines(i)))
-        return F.coalesce(F.array_join(F.filter(mine, lambda x: x.isNotNull()), "\n"), F.lit(""))
-
-    return rows.withColumns({up: section(True), down: section(False)})
+    parts = F.struct(F.split(text, _MARKER_LINE).alias("pieces"), F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(0)).alias("markers"))
+
+    def section(x: Column, is_up: bool) -> Column:
+        def lines(i: Column) -> Column:
+            """The lines after marker i (from 0) as one string, null if there are none: line feeds at the ends are those of the marker lines."""
+            piece = F.get(x["pieces"], i + 1)
+            bare = F.when(i + 1 < F.size(x["markers"]), F.substring(piece, F.lit(1), F.length(piece) - 1)).otherwise(piece)
+            return F.when(F.length(bare) > 0, F.substring(bare, F.lit(2), F.length(bare)))
+
+        mine = F.transform(x["markers"], lambda m, i: F.when(m.contains("-- +migrate Up") == F.lit(is_up), lines(i)))
+        return F.coalesce(F.array_join(F.filter(mine, lambda y: y.isNotNull()), "\n"), F.lit(""))
+
+    # a generator over an array of one, so that a text is split once however often its parts are looked at
+    both = F.inline(F.transform(F.array(parts), lambda x: F.struct(section(x, True).alias("up"), section(x, False).alias("down"))))
+    others = [f"`{c}`" for c in rows.columns if c.lower() not in (up.lower(), down.lower())]
+    return rows.select(*others, both.alias(up, down))
 
 
 def statements(rows: DataFrame, sql: str) -> DataFrame:
