@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over `documents`; every stage's result is written as Parquet and read again as the next one's docs."""
+"""A corpus pipeline of five stages over `documents`; every stage's result is written as Parquet and read again as the next one's docs.
+
+Nulls and odd rows, besides what the operators' modules say: a null text is scored as an empty one, and goes or stays as its score says; what
+stays keeps its null through the stages, and takes one sequence's place of one token in the last. Rows with a null doc_id take part and count
+as smaller than any other. Of rows with one doc_id and near-equal texts one stays. Empty tables give an empty result. The first four stages
+return the columns of their docs, extra ones included, whatever their names; n_chars follows a text that was cut.
+"""
 
 from __future__ import annotations
 
