@@ -32,6 +32,8 @@ from .tokens import encoder
 MAGIC = b"QSTOKPL1"
 _FOOTER = struct.Struct("<QQQQQQ8s")  # chunk index at, length, document index at, length, blocks, bit planes?, magic
 BLOCK = 1 << 16
+#: Bytes of text that a shard gets, about; its document index is held in memory, so this bounds it, too.
+SHARD_BYTES = 32 << 20
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -163,11 +165,11 @@ class ShardReader:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: bool = False
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: bool = False, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """Writes the shards of `docs` under `folder` and returns the manifest, itself a table there.
 
-    Documents are dealt out by ranges of id, one shard file for each range; a file's name is new for each attempt of a task, and only
+    Documents are dealt out by ranges of id, as many as all texts have `shard_bytes`, one shard file for each range; a file's name is new for each attempt of a task, and only
     files of tasks that ended well reach the manifest.
     """
 
@@ -188,7 +190,9 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [uri], "n_docs": [n], "n_tokens": [tokens], "n_bytes": [size]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "body")
+    total, n = rows.agg(F.sum(F.octet_length("body")), F.count("*")).first()
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-((total or 0) + 8 * n) // shard_bytes))
+    rows = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "body")
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
