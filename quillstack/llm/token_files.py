@@ -33,7 +33,7 @@ MAGIC = b"QSTOKPL1"
 _FOOTER = struct.Struct("<QQQQQQ8s")  # chunk index at, length, document index at, length, blocks, bit planes?, magic
 BLOCK = 1 << 16
 #: Bytes of text that a shard gets, about; its document index is held in memory, so this bounds it, too.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
