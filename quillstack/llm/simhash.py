@@ -8,9 +8,11 @@ found by dynamic programming on the estimated work: keys to write, and candidate
 a threshold of 1 the values with one bit blotted out, and so on.
 
 Candidates meet by key in sorted runs. Within a run, fingerprints are compared with their neighbours at growing offsets as arrays, and
-only links between different components of the run leave it: at most one fewer than its members, whatever its size. Runs too long for
-that are probed through all fingerprints in reach instead, whose number doesn't depend on the run. Components then come from
-alternating stars over the written links.
+only links between different components of the run leave it: at most one fewer than its members, whatever its size. Keys are counted
+first (map-side, so a hot key is never gathered): a run of more than `long_run` members is split by the pigeonhole again, over the bits
+that its key leaves free. These fall into distance + 1 groups, two linked members agree in one of them whole, and each group's value joins
+the key. Runs that are still too long are split once more; every split fixes more bits, and members are distinct, so this ends. Components
+then come from alternating stars over the written links.
 
 Nulls and odd rows: a null text counts as empty; texts without words have fingerprint zero, linked like any other. Rows with a null
 doc_id take part, with a null component_id if they are its smallest. Equal texts share a fingerprint, and only distinct fingerprints
@@ -19,6 +21,7 @@ are compared. Repeated rows give repeated rows. An empty table gives an empty re
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -33,8 +36,9 @@ from .components import components
 BITS, DISTANCE, SHINGLE = 64, 3, 3
 #: Estimated cost of writing and sorting a key, against one comparison in a run.
 KEY_COST = 400
-#: From about so many members on, probing all fingerprints in reach costs less than comparing all pairs of a run.
-LONG_RUN = 40_000
+#: A run of more members than this is split by further bits; up to so many hot keys go to all tasks (16 bytes each), more are joined.
+LONG_RUN, MOST_HOT = 40_000, 100_000
+KEYED = "mask long, value long, fp long"
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -175,14 +179,13 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return used
 
 
-def run_links(fps: np.ndarray, run: np.ndarray, distance: int, long_run: int = LONG_RUN) -> list[tuple[int, int]]:
+def run_links(fps: np.ndarray, run: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links (of positions) that unite the components within each run of equal `run` values; fps are distinct within a run."""
     n = len(fps)
     label, links = np.arange(n), []
     edge = np.flatnonzero(np.diff(run)) + 1
     start = np.repeat(np.concatenate(([0], edge)), np.diff(np.concatenate(([0], edge, [n])))) if n else np.zeros(0, dtype=np.int64)
-    size = np.bincount(start, minlength=n)[start] if n else start
-    left = np.flatnonzero((size > 1) & (size <= long_run))
+    left = np.arange(n)
     d = 1
     while len(left):
         left = left[left + d < n]
@@ -191,46 +194,49 @@ def run_links(fps: np.ndarray, run: np.ndarray, distance: int, long_run: int = L
         if len(near):
             links += _join(label, near, near + d)
         d += 1
-    for s in np.unique(start[size > long_run]):
-        links += [(a + int(s), b + int(s)) for a, b in probe_links(fps[s : s + size[s]], distance)]
     return links
 
 
-def probe_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """As run_links for one long run: looks up every fingerprint within reach of each, in blocks."""
-    order = np.argsort(fps)
-    ranked, label, links = fps[order], np.arange(len(fps)), []
-    for t in range(1, distance + 1):
-        for gone in combinations(range(BITS), t):
-            other = ranked ^ np.uint64(sum(1 << b for b in gone))
-            at = np.searchsorted(ranked, other)
-            at[at == len(ranked)] = 0
-            hit = np.flatnonzero(ranked[at] == other)
-            hit = hit[hit < at[hit]]
-            if len(hit):
-                links += _join(label, order[hit], order[at[hit]])
-    return links
+def narrower(mask: int, distance: int) -> list[int]:
+    """Masks with more bits: two values that agree under `mask` and differ in at most `distance` bits agree under one of these."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in free[k :: distance + 1]) for k in range(distance + 1)]
+
+
+def _keyed(fp: np.ndarray, mask: int):
+    """Rows mask, value, fp of fingerprints under a mask."""
+    import pyarrow as pa
+
+    m = np.uint64(mask)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), m).view(np.int64)), pa.array((fp & m).view(np.int64)), pa.array(fp.view(np.int64))], names=["mask", "value", "fp"])
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, key_cost: int | None = None, long_run: int = LONG_RUN) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, long_run: int = LONG_RUN) -> DataFrame:
     """Links a, b of distinct fingerprints (column fp) that unite each component."""
     n, both = agreement(fps)
     chosen = masks(plan(n, both, distance))
+    long_run = max(long_run, 2 ** (distance + 1))  # longer runs have more free bits than groups, so a split fixes some in each
 
     def keys(batches):
-        import pyarrow as pa
-
         for batch in in_parts(batches, 8192):
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            for k, mask in enumerate(chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, dtype=np.int32)), pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(fp.view(np.int64))], names=["mask", "value", "fp"])
+            for mask in chosen:
+                yield _keyed(fp, mask)
+
+    def split(batches):
+        for batch in in_parts(batches, 8192):
+            of = np.asarray(batch.column("mask")).astype(np.int64)
+            fp = np.asarray(batch.column("fp")).astype(np.int64).view(np.uint64)
+            for m in np.unique(of):
+                for mask in narrower(int(m) & (1 << BITS) - 1, distance):
+                    yield _keyed(fp[of == m], mask)
 
     def meet(batches):
         import pyarrow as pa
 
         def links(mask, value, fp):
             run = np.cumsum(np.concatenate(([0], (np.diff(mask) != 0) | (np.diff(value) != 0)))) if len(fp) else value
-            got = run_links(fp.view(np.uint64), run, distance, long_run)
+            got = run_links(fp.view(np.uint64), run, distance)
             a, b = np.array([x for x, _ in got], dtype=np.int64), np.array([y for _, y in got], dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
@@ -250,8 +256,17 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, key_cost: int |
         if held:
             yield links(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
-    probed = fps.select("fp").mapInArrow(keys, "mask int, value long, fp long")
-    return probed.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(meet, "a long, b long")
+    probed, found = fps.select("fp").mapInArrow(keys, KEYED), []
+    while probed is not None:
+        hot = written(probed.groupBy("mask", "value").count().where(F.col("count") > long_run).select("mask", "value"), "hot")
+        n_hot, rest = hot.count(), None
+        if n_hot:
+            some = F.broadcast(hot) if n_hot <= MOST_HOT else hot
+            rest = written(probed.join(some, ["mask", "value"], "left_semi").select("mask", "value", "fp").mapInArrow(split, KEYED).distinct(), "split")
+            probed = probed.join(some, ["mask", "value"], "left_anti").select("mask", "value", "fp")
+        found.append(probed.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(meet, "a long, b long"))
+        probed = rest
+    return reduce(DataFrame.union, found)
 
 
 def _grouped(docs: DataFrame, distance: int, id_col: str, text_col: str) -> DataFrame:

@@ -46,19 +46,46 @@ def test_simhash_equals_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("long_run", [2, 40_000])
-def test_run_links_find_every_component(long_run):
+def united(links, members):
+    root = {v: v for v in members}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {v: min(x, y) if r in (x, y) else r for v, r in root.items()}
+    return root
+
+
+def test_run_links_find_every_component():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     near = base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64))
     fps = np.unique(np.concatenate([base, near]))
-    links = simhash.run_links(fps, np.zeros(len(fps), dtype=np.int64), 3, long_run)
-    want = brute_groups(dict(enumerate(int(x) for x in fps)))
-    root = dict(zip(range(len(fps)), range(len(fps))))
-    for a, b in links:
-        x, y = root[a], root[b]
-        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    assert root == want
+    links = simhash.run_links(fps, np.zeros(len(fps), dtype=np.int64), 3)
+    assert united(links, range(len(fps))) == brute_groups(dict(enumerate(int(x) for x in fps)))
+
+
+@pytest.mark.parametrize("long_run, most_hot", [(64, 100_000), (64, 0), (40_000, 100_000)])
+def test_hot_runs_are_split_and_lose_no_link(spark, monkeypatch, long_run, most_hot):
+    monkeypatch.setattr(simhash, "MOST_HOT", most_hot)
+    rng = np.random.default_rng(4)
+    flips = [sum(1 << int(b) for b in rng.choice(24, rng.integers(1, 9), replace=False)) for _ in range(300)]
+    fps = sorted({0x1234_5678_9ABC_DEF0 ^ f for f in flips} | {int(x) for x in rng.integers(0, 2**63, 30)})
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(table, long_run=long_run).distinct().collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+    want = brute_groups(dict(zip(fps, fps)))
+    assert len(set(want.values())) > 31
+    assert united(links, fps) == want
+
+
+def test_narrower_masks_meet_every_close_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        mask = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 60), replace=False))
+        free = [b for b in range(64) if not mask >> b & 1]
+        change = sum(1 << int(b) for b in rng.choice(free, min(3, len(free)), replace=False))
+        more = simhash.narrower(mask, 3)
+        assert any(change & m == 0 for m in more) and all(m & mask == mask for m in more)
+        assert all(m != mask for m in more) or len(free) < 4
 
 
 def test_plan_covers_every_pair_of_three_bits():
