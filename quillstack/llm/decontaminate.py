@@ -11,7 +11,9 @@ all. An item without slots, or with less than three literal words in all, has no
 several times, each place is tried: the matched windows around each diagonal that hold `similarity` of the item's are judged by themselves.
 
 The items go to the tasks of the text scan while their windows number at most `most_windows`; a benchmark beyond that is joined by a
-shuffle on the window hash instead. Both ways give the same rows.
+shuffle on the window hash instead. There, items with equal texts are judged once. A text with enough of an item's windows has one of its
+rarest ones at least (all but as many as must be found, less one), so only these look for candidates, and windows that many items share
+meet none of them; the candidates' windows are then counted. Both ways give the same rows.
 
 Nulls and odd rows: a null or empty text has no words and contains nothing; items without words, or without item_id, are never found.
 Rows with a null doc_id take part. Repeated documents give repeated rows; of items with one item_id each is judged by itself, and the
@@ -23,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_parts, table
@@ -341,22 +343,39 @@ def _window_rows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.mapInArrow(emit, "key long, kind int, hash long, words int, dense boolean")
 
 
+def _rarest(items: DataFrame, need: DataFrame) -> DataFrame:
+    """The windows (key, kind, hash) that look for candidates: of an item's n windows, of which `least` must be found, the n - least + 1
+    that the fewest items have. A text that has none of these has less than `least`."""
+    common = items.groupBy("kind", "hash").agg(F.count("*").alias("owners"))
+    ranked = items.join(common, ["kind", "hash"]).withColumn("rank", F.row_number().over(Window.partitionBy("key", "kind").orderBy("owners", "hash")))
+    return ranked.join(need, ["key", "kind"]).where(F.col("rank") <= F.col("windows") - F.col("least") + 1).select("key", "kind", "hash")
+
+
 def _by_shuffle(texts: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
     """contaminated() for a benchmark of any size: candidates by a shuffled join on the window hash, each verified from its two texts."""
     from .common import written
 
     sizes = list(range(1, WINDOW + 1))
     texts = written(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
-    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("body"))
-    rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "items")
-    items = _window_rows(rows.select("key", "body"), sizes).where(F.floor(F.col("kind") / 2) == F.least(F.col("words"), F.lit(WINDOW)))
+    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    bodies = written(rows.select("body").distinct().withColumn("key", F.monotonically_increasing_id()), "items")
+    owners = rows.distinct().join(bodies, "body").select("item_id", F.col("key").alias("item_key"))
+    items = _window_rows(bodies.select("key", "body"), sizes).where(F.floor(F.col("kind") / 2) == F.least(F.col("words"), F.lit(WINDOW)))
     need = items.groupBy("key", "kind").agg(F.count("*").alias("need"), F.count_if("dense").alias("few"))
     need = need.withColumn("few", F.when(F.col("few") < similarity * F.col("need"), F.col("few")).otherwise(0))
-    items = items.join(need.select("key", "kind", "few"), ["key", "kind"]).where(~F.col("dense") | (F.col("few") == 0))
+    need = need.select("key", "kind", "few", (F.col("need") - F.col("few")).alias("windows"), F.ceil(similarity * F.col("need") - F.col("few") - 1e-9).alias("least"))
+    items = written(items.join(need, ["key", "kind"]).where(~F.col("dense") | (F.col("few") == 0)).select("key", "kind", "hash"), "windows")
     mine = _window_rows(texts.select("key", "body"), sizes).select(F.col("key").alias("text_key"), "kind", "hash")
-    met = mine.join(items.select(F.col("key").alias("item_key"), "kind", "hash"), ["kind", "hash"]).groupBy("text_key", "item_key", "kind").agg(F.count("*").alias("met"))
-    pairs = met.join(need.withColumnRenamed("key", "item_key"), ["item_key", "kind"]).where(F.col("met") + F.col("few") >= similarity * F.col("need")).select("text_key", "item_key").distinct()
-    both = pairs.join(texts.withColumnRenamed("key", "text_key"), "text_key").join(rows.select(F.col("key").alias("item_key"), "item_id", F.col("body").alias("item")), "item_key")
+    asked = _rarest(items, need.select("key", "kind", "windows", "least")).withColumnRenamed("key", "item_key")
+    tried = written(mine.join(asked, ["kind", "hash"]).select("text_key", "item_key", "kind").distinct(), "tried")
+    some = texts.join(tried.select(F.col("text_key").alias("key")).distinct(), "key", "left_semi")
+    of_tried = _window_rows(some.select("key", "body"), sizes).select(F.col("key").alias("text_key"), "kind", "hash")
+    wanted = tried.join(items.withColumnRenamed("key", "item_key"), ["item_key", "kind"])
+    met = wanted.join(of_tried, ["text_key", "kind", "hash"], "left_semi").groupBy("text_key", "item_key", "kind").agg(F.count("*").alias("met"))
+    pairs = met.join(need.select(F.col("key").alias("item_key"), "kind", "least"), ["item_key", "kind"]).where(F.col("met") >= F.col("least")).select("text_key", "item_key").distinct()
+    both = pairs.join(texts.withColumnRenamed("key", "text_key"), "text_key").join(bodies.select(F.col("key").alias("item_key"), F.col("body").alias("item")), "item_key")
+
+    found_as = FOUND.replace("item_id", "item_key")
 
     def verify(batches):
         import pyarrow as pa
@@ -364,12 +383,12 @@ def _by_shuffle(texts: DataFrame, benchmark: DataFrame, similarity: float) -> Da
         for batch in in_parts(batches, 256):
             out = []
             for r in batch.to_pylist():
-                out += [(r["text_key"], r["doc_id"], *rest[1:]) for rest in find_in([r["body"] or ""], items_of([(r["item_id"], r["item"])], similarity), similarity)]
+                out += [(r["text_key"], r["doc_id"], *rest[1:]) for rest in find_in([r["body"] or ""], items_of([(r["item_key"], r["item"])], similarity), similarity)]
             columns = list(zip(*out)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text_key", *(c.split()[0] for c in FOUND.split(", "))])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text_key", *(c.split()[0] for c in found_as.split(", "))])
 
-    found = both.select("text_key", "doc_id", "body", "item_id", "item").mapInArrow(verify, "text_key long, " + FOUND)
+    found = both.select("text_key", "doc_id", "body", "item_key", "item").mapInArrow(verify, "text_key long, " + found_as).join(owners, "item_key")
     best = found.groupBy("text_key", "doc_id", "item_id", "reading").agg(F.max(F.struct("containment", "slots", "consistent")).alias("best"))
     return best.select("doc_id", "item_id", "reading", "best.*")
 

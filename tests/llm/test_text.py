@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from quillstack.llm import chains, components, decontaminate, licenses, quality, repeats, simhash
 
 from ..conftest import DATA, same_as_sql
@@ -441,6 +442,22 @@ def brute_templates(docs, items):
     return found
 
 
+def test_windows_that_many_items_share_look_for_nothing(spark):
+    rng = np.random.default_rng(12)
+    preamble = "read the passage below and answer the question that comes after it"
+    own = [" ".join(word_list(rng, 12)) for _ in range(60)]
+    items = spark.createDataFrame([(i, f"{preamble} {x}") for i, x in enumerate(own)] + [(100, f"{preamble} {own[0]}"), (101, preamble)], "item_id long, text string")
+    texts = [(1, f"as they say {preamble} {own[3]} and so on"), (2, preamble), (3, f"{own[0]} {preamble}"), (4, " ".join(word_list(rng, 90))), (5, f"{preamble} {own[0]}")]
+    docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    wide, narrow = (sorted(tuple(r) for r in decontaminate.contaminated(docs, items, most_windows=m).collect()) for m in (1_000_000, 0))
+    assert narrow == wide
+    assert {r[:2] for r in narrow} >= {(1, 3), (1, 101), (2, 101), (5, 0), (5, 100)} and not any(r[0] == 4 for r in narrow)
+    windows = decontaminate._window_rows(items.select(F.col("item_id").alias("key"), "text"), [5]).where("kind = 10").select("key", "kind", "hash")
+    need = windows.groupBy("key", "kind").agg(F.count("*").alias("windows"), F.ceil(0.8 * F.count("*") - 1e-9).alias("least"))
+    most = decontaminate._rarest(windows, need).groupBy("hash").count().agg(F.max("count")).first()[0]
+    assert most <= 2
+
+
 def test_template_reading_equals_brute_force(spark):
     import random
 
