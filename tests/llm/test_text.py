@@ -273,6 +273,72 @@ def test_passages_of_frequent_phrases_are_found(spark):
         assert {(r["doc_id"], r["partner_id"]) for r in got} >= want
 
 
+@pytest.mark.parametrize("few", [3, 32])
+@pytest.mark.parametrize("unit_bytes", [4_000, 1 << 20])
+def test_no_two_texts_with_a_passage_lose_their_link(spark, few, unit_bytes):
+    """Passages with words changed at other places in each document, of lines that other documents hold alone: all pairs are found, and
+    documents with one string of 50 words hang together through it."""
+    rng, docs, want, alike = np.random.default_rng(12), [], set(), []
+    lines = [word_list(rng, 10) for _ in range(24)]
+    for f in range(4):
+        passage = sum(lines[6 * f : 6 * f + 6], [])
+        family = (100 * f + rng.permutation(100)[:11]).tolist()
+        for k in family:
+            fuzzy = list(passage)
+            for i in rng.choice(8, 2, replace=False).tolist():
+                fuzzy[7 * i + int(rng.integers(2, 6))] = f"other{k}x{i}"
+            for i in (24, 36):  # no two have 50 equal words in a row
+                fuzzy[i] = f"more{k}x{i}"
+            docs.append((k, " ".join(word_list(rng, 30) + fuzzy + word_list(rng, 30)), 0, ""))
+        want |= {(max(p), min(p)) for p in itertools.combinations(family, 2)}
+        same = word_list(rng, 63)
+        alike.append(set(range(1000 + 20 * f, 1012 + 20 * f)))
+        docs += [(k, " ".join(word_list(rng, 40) + same + word_list(rng, 40)), 0, "") for k in alike[-1]]
+    docs += [(2000 + k, " ".join(word_list(rng, 25) + lines[k % 24] + word_list(rng, 25)), 0, "") for k in range(240)]
+    got = {(r["doc_id"], r["partner_id"]) for r in chains.repeated_passages(spark.createDataFrame(docs, DOCS).repartition(3), unit_bytes=unit_bytes, few=few).collect()}
+    assert {p for p in got if p[0] < 1000} == want
+    root = united([p for p in got if p[0] >= 1000], {d for d, *_ in docs})
+    for family in alike:
+        assert {root[d] for d in family} == {min(family)}
+    assert all(root[d] == d for d, *_ in docs if d >= 2000)
+
+
+@pytest.mark.parametrize("unit_bytes", [2_000, 1 << 20])
+def test_links_are_counted_as_the_passages_give_them(spark, unit_bytes):
+    rng, docs = np.random.default_rng(14), [(None, None, 0, "")]
+    for f in range(3):
+        passage = word_list(rng, 60)
+        for k in range(9):
+            fuzzy = [f"other{k}x{i}" if i % 12 == k % 9 else w for i, w in enumerate(passage)]
+            docs.append((100 * f + k, " ".join(word_list(rng, 20) + fuzzy + word_list(rng, 20 + f)), 0, ""))
+    table = spark.createDataFrame(docs, DOCS).repartition(3)
+    rows = chains.repeated_passages(table, unit_bytes=unit_bytes, few=4).collect()
+    got = {r["doc_id"]: r for r in chains.linked_documents(table, unit_bytes=unit_bytes, few=4).collect()}
+    root = united([(r["doc_id"], r["partner_id"]) for r in rows], {d for d, *_ in docs if d is not None})
+    assert {k: (r["n_links"], r["class_id"]) for k, r in got.items()} == {k: (k % 100, root[k]) for k in root if k % 100}
+    assert all(r["n_words"] == max(p["n_words"] for p in rows if p["doc_id"] == k) for k, r in got.items())
+
+
+def test_pairs_of_frequent_seeds_equal_brute_force():
+    """Contexts of one seed: every pair with enough three-word strings in common comes, or has a string in common from another seed."""
+    rng = np.random.default_rng(13)
+    for most in (2, 9):
+        base = rng.integers(1, 256, (3, 96))
+        words = base[rng.integers(0, 3, 90)].astype(np.uint8)
+        for r in words:
+            r[rng.permutation(96)[: rng.integers(0, 40)]] = rng.integers(1, 256)
+        words[:, 46:50] = (5, 6, 7, 8)
+        words[:20, :30] = 0
+        key, none = np.sort(rng.integers(0, 80, 90)), np.zeros(90, dtype=np.uint64)
+        grams = [{} for _ in words]
+        for g, w in zip(grams, words.tolist()):
+            for x in zip(w, w[1:], w[2:]):
+                g[x] = g.get(x, 0) + (0 not in x)
+        want = {(i, j) for i in range(90) for j in range(i) if key[i] != key[j] and sum(min(n, grams[j].get(x, 0)) for x, n in grams[i].items()) >= 18}
+        got = [(i, j) for is_string, a, b in chains.frequent_pairs(words, key, none, np.full((90, len(chains.SALTS)), 2**64 - 1, dtype=np.uint64), 50, 0.8, most) if not is_string for i, j in zip(a.tolist(), b.tolist())]
+        assert want and len(got) == len(want) and set(got) == want
+
+
 def test_chains_equal_brute_force():
     """The best local chain over all orders of a few blocks."""
     rng = np.random.default_rng(4)
